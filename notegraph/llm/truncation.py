@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegraph.operators.skew import hot_keys, salted_join
+from notegraph.session import cut_lineage
+
 #: Intact texts, at most, from which training rows are made; the only bound here, everything else covers all rows.
 TRAINING_TEXTS = 60_000
+#: Share of cut values expected among those without closing punctuation.
+PRIOR = 0.2
+#: Share of artificial cuts that are made to stand at the source's limit.
+AT_LIMIT = 0.6
 #: Dimensions of the hashed features.
-DIMENSIONS = 1 << 17
+DIMENSIONS = 1 << 16
+#: Share of all texts from which on the shape of an unpunctuated phrase counts as that of a complete one.
+RECURRENT_SHARE = 0.003
 #: A text is reported as cut from this probability on.
 THRESHOLD = 0.5
 
@@ -34,46 +47,96 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, _MARK, "")
 
 
-def features(text: Column, limit: Column, raw: Column | None = None) -> Column:
-    """Feature strings of a text's end: closing characters, last words, skeleton of the last clause, open brackets,
-    and how its length stands to the source's limit. ``text`` must be bare and without its final full stop."""
-    raw = text if raw is None else raw
-    tail = F.substring(text, -160, 160)
-    words = F.filter(F.split(F.lower(tail), r"[^\p{L}\p{N}'’-]+"), lambda w: F.length(w) > 0)
-    n = F.size(words)
+_WORD = re.compile(r"[\w'’-]+")
+_CLAUSE = re.compile(r"[,;:()\"“”.!?]")
+_KNOWN = frozenset(FUNCTION_WORDS)
 
-    def word(k: int) -> Column:
-        return F.when(n >= k, F.try_element_at(words, F.lit(-k))).otherwise(F.lit("^"))
 
-    function = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
+def _shape(word: str) -> str:
+    if word in _KNOWN or word == "^":
+        return word
+    return "Y" if word.endswith("ly") else "D" if word.endswith("ed") else "S" if word.endswith("s") else "X"
 
-    def shape(w: Column) -> Column:
-        end = F.when(w.endswith("ly"), "Y").when(w.endswith("ed"), "D").when(w.endswith("s"), "S").otherwise("X")
-        return F.when(F.array_contains(function, w) | (w == "^"), w).otherwise(end)
 
-    clause = F.regexp_extract(F.lower(tail), r"([^,;:()\"“”.!?]*)[^\p{L}\p{N}]*$", 1)
-    inside = F.transform(F.filter(F.split(clause, r"[^\p{L}\p{N}'’-]+"), lambda w: F.length(w) > 0), shape)
-    skeleton = F.array_join(F.slice(inside, F.greatest(F.lit(1), F.size(inside) - 11), 12), " ")
+def features(text: str, length: int, limit: int | None, share: float | None) -> list[str]:
+    """Feature strings of a text's end: closing characters, last words, the skeleton of the last clause, brackets left
+    open, how frequent the last word is in the corpus, and how the length stands to the source's limit.
 
-    def ends(k: int) -> Column:
-        return F.array_join(F.slice(inside, F.greatest(F.lit(1), F.size(inside) - (k - 1)), k), " ")
+    ``text`` is bare and without its final full stop; ``length`` is that of the value as stored; ``share`` is the last
+    word's share of all words of the corpus. All of a text counts for open brackets, its last clause for the rest.
+    """
+    low = text.lower()
+    words = ["^"] * 3 + _WORD.findall(low[-200:])
+    inside = [_shape(w) for w in _WORD.findall(_CLAUSE.split(low.rstrip(" ,;:()\"“”`'’"))[-1])]
+    last = text[-1:]
+    kind = "letter" if last.isalpha() else "digit" if last.isdigit() else last
+    quotes = f"{text.count(chr(34)) % 2}{text.count('`') % 2}{text.count('“') > text.count('”')}"
+    reach = "none" if limit is None else "at" if length == limit else "over" if length > limit else "near" if length >= limit - 3 else "under"
+    frequent = "none" if not share else str(round(math.log2(share)))
+    w1, w2, w3 = words[-1], words[-2], words[-3]
+    given = {
+        "end": kind, "w1": w1, "w2": f"{w2} {w1}", "s2": f"{_shape(w2)} {w1}", "s3": f"{_shape(w3)} {_shape(w2)} {w1}", "skeleton": " ".join(inside[-12:]),
+        "f1": _shape(w1), "len1": min(len(w1), 12), "p1": w1[-3:], "round": text.count("(") > text.count(")"), "odd": quotes, "often": frequent, "oftenlen": f"{frequent} {min(len(w1), 6)}",
+    } | {f"k{k}": " ".join(inside[-k:]) for k in (3, 4, 5, 6, 8)}
+    return [f"{k}={v}" for k, v in given.items()] + [f"reach={reach}"]
 
-    def tally(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern))
 
-    last = F.substring(text, -1, 1)
-    kind = F.when(last.rlike(r"\p{L}"), "letter").when(last.rlike(r"\p{N}"), "digit").otherwise(last)
-    open_round = F.signum(tally(r"\(") - tally(r"\)"))
-    odd = F.concat_ws("", (tally('"') % 2).cast("string"), (tally("`") % 2).cast("string"), F.signum(tally("“") - tally("”")).cast("string"))
-    reach = F.when(limit.isNull(), "none").when(F.length(raw) == limit, "at").when(F.length(raw) > limit, "over").when(F.length(raw) >= limit - 3, "near").otherwise("under")
-    given = {
-        "end": kind, "w1": word(1), "w2": F.concat_ws(" ", word(2), word(1)), "s2": F.concat_ws(" ", shape(word(2)), word(1)),
-        "s3": F.concat_ws(" ", shape(word(3)), shape(word(2)), word(1)), "skeleton": skeleton, "k3": ends(3), "k4": ends(4), "k5": ends(5),
-        "k6": ends(6), "k8": ends(8), "f1": shape(word(1)), "len1": F.least(F.length(word(1)), F.lit(12)).cast("string"), "p1": F.substring(word(1), -3, 3),
-        "round": open_round.cast("string"), "odd": odd, "reach": reach, "reachend": F.concat_ws(" ", reach, shape(word(1))),
-        "size": F.least((F.length(text) / 20).cast("int"), F.lit(12)).cast("string"),
-    }
-    return F.array(*[F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit(""))) for k, v in given.items()])
+def whole_skeleton(text: str | None) -> str | None:
+    """The skeleton of a text that is one clause of four words or more and ends in a letter; None for others."""
+    text = (text or "").strip()
+    if not text[-1:].isalpha() or len(text) > 120 or _CLAUSE.search(text):
+        return None
+    words = _WORD.findall(text.lower())
+    return " ".join(map(_shape, words)) if len(words) >= 4 else None
+
+
+def recurrent(rows: DataFrame, share: float = RECURRENT_SHARE, least: int = 10) -> DataFrame:
+    """The keys of texts without final punctuation whose skeleton ``share`` of all texts have: complete phrases such as
+    titles. A cut falls anywhere, so what it leaves does not recur. Counted over all texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([whole_skeleton(t) for t in batch.column(1).to_pylist()], pa.string())], ["_key", "_form"])
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    forms = rows.select("_key", "_text").mapInArrow(run, f"_key {kind}, _form string")
+    counts = forms.where("_form is not null").groupBy("_form").agg(F.count(F.lit(1)).alias("_n"))
+    common = [r[0] for r in counts.where(F.col("_n") >= max(least, share * rows.count())).orderBy(F.desc("_n")).limit(int(1 / share)).collect()]
+    return forms.where(F.col("_form").isin(common)).select("_key") if common else forms.where("false").select("_key")
+
+
+def _featured(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """Adds ``words`` to rows with ``_t``, ``_length``, ``_limit`` and ``_share``; done in Arrow batches, since interpreted
+    higher-order functions over the same splits took ten times as long."""
+    kept = [f for f in rows.schema.fields if f.name in carry]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            t, length, limit, share = (batch.column(c).to_pylist() for c in ("_t", "_length", "_limit", "_share"))
+            words = pa.array([features(*x) for x in zip(t, length, limit, share)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), words], [*(f.name for f in kept), "words"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, f"{schema}, words array<string>")
+
+
+def word_shares(rows: DataFrame) -> DataFrame:
+    """``(_last, _share)``: each word's share of all words, over all texts."""
+    words = rows.select(F.explode(F.split(F.lower("_text"), r"[^\p{L}\p{M}\p{N}_'’-]+")).alias("_last")).where(F.length("_last") > 0)
+    counts = words.groupBy("_last").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 1
+    return counts.select("_last", (F.col("_n") / F.lit(float(total))).alias("_share"))
+
+
+def _with_share(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """Joins the share of the last word of ``_t``; hot last words are salted."""
+    last = F.regexp_extract(F.lower("_t"), r"([\p{L}\p{M}\p{N}_'’-]+)[^\p{L}\p{M}\p{N}_'’-]*$", 1)
+    rows = rows.withColumn("_last", last)
+    return salted_join(rows, shares, "_last", hot_keys(rows, "_last"), F.col("_t"), "left")
 
 
 def _prepared(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -97,35 +160,48 @@ def limits(rows: DataFrame, least: int = 8, excess: float = 4.0) -> DataFrame:
     return mean.where((F.col("_n") >= least) & (F.col("_n") >= excess * F.greatest("_mean", F.lit(0.5)))).groupBy("_source").agg(F.max("_l").alias("_limit"))
 
 
+def _odds(key: str, text: str, share: float, *more: str) -> Column:
+    """The limit of a training row: its own length for ``share`` of them, so that they stand at their limit."""
+    return F.when(F.pmod(F.xxhash64(key, *more, F.lit("limit")), F.lit(1000)) < int(share * 1000), F.length(text)).otherwise(F.col("_limit"))
+
+
 def training_rows(rows: DataFrame, bound: int = TRAINING_TEXTS) -> DataFrame:
-    """Labelled rows from intact texts (those that end in closing punctuation, of several words).
+    """Labelled rows from intact texts: of several words, ending in closing punctuation or in a recurrent form.
 
     Each gives itself without its final mark as a negative, and three positives: cut at a place drawn from the hash of
     the key, inside a word or between words. At most ``bound`` texts are taken, by the order of that hash.
     """
-    intact = rows.where(F.col("_text").rlike(_CLOSED) & ~F.col("_text").rlike(r"(?:\.\.|…)$") & (F.size(F.split(F.trim("_text"), r"\s+")) >= 4))
+    rows = rows.join(recurrent(rows).withColumn("_recurs", F.lit(True)), "_key", "left")
+    ended = F.col("_text").rlike(_CLOSED) & ~F.col("_text").rlike(r"(?:\.\.|…)$")
+    intact = rows.where((ended | F.col("_recurs")) & (F.size(F.split(F.trim("_text"), r"\s+")) >= 4))
     intact = intact.orderBy(F.xxhash64("_key"), "_key").limit(bound)
     whole = F.regexp_replace(F.trim("_text"), r"[.!?。！？]+$", "")
     base = intact.select("_key", "_limit", whole.alias("_t"))
-    negative = base.select("_t", F.lit(0.0).alias("label"), F.when(F.pmod(F.xxhash64("_key", F.lit("n")), F.lit(8)) == 0, F.length("_t")).otherwise(F.col("_limit")).alias("_limit"))
+    negative = base.select("_t", F.lit(0.0).alias("label"), _odds("_key", "_t", AT_LIMIT / 4).alias("_limit"))
     drawn = base.select("_t", "_limit", "_key", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_i"))
     at = F.lit(6) + F.pmod(F.xxhash64("_key", "_i"), F.greatest(F.length("_t") - 7, F.lit(1)))
     piece = drawn.select("_key", "_i", "_limit", "_t", F.rtrim(F.substring("_t", F.lit(1), at.cast("int"))).alias("_p"))
     between = F.regexp_replace("_p", r"[^\p{L}\p{N}]*[\p{L}\p{N}'’-]+$", "")
     piece = piece.withColumn("_p", F.when((F.col("_i") == 2) & (F.length(between) > 5), between).otherwise(F.col("_p")))
-    # A cut after which only brackets or quotes are missing, or nothing but a phrase that may be left out, is no clear positive.
+    # A cut after which nothing is missing, or only a phrase that may be left out, is no clear positive.
     rest = F.expr("substring(_t, length(_p) + 1)")
-    closed = rest.rlike(r"^[^\p{L}\p{N}]*$") | rest.rlike(r"^\s*[,;(–-]") | (rest.rlike(r"^\s*(?:for|as with|and|because|until|while|where|which|so that|although|even though|whenever|but|or|with|without|since|during|before|after|near|over|unlike)\b"))
-    positive = piece.where(~closed & (F.length("_p") > 3)).select(F.col("_p").alias("_t"), F.lit(1.0).alias("label"), F.when(F.pmod(F.xxhash64("_key", "_i", F.lit("n")), F.lit(3)) == 0, F.length("_p")).otherwise(F.col("_limit")).alias("_limit"))
+    closed = rest.rlike(r"^[^\p{L}\p{N})\]\"”`’]*$") | rest.rlike(r"^\s*[,;(–-]") | (rest.rlike(r"^\s*(?:for|as with|and|because|until|while|where|which|so that|although|even though|whenever|but|or|with|without|since|during|before|after|near|over|unlike)\b"))
+    positive = piece.where(~closed & (F.length("_p") > 3)).select(F.col("_p").alias("_t"), F.lit(1.0).alias("label"), _odds("_key", "_p", AT_LIMIT, "_i").alias("_limit"))
     return negative.unionByName(positive)
 
 
-def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int = TRAINING_TEXTS) -> DataFrame:
+def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int = TRAINING_TEXTS, prior: float = PRIOR) -> DataFrame:
     """``(key, source, p_cut, is_cut)`` for every distinct key with a non-blank text.
 
     ``source`` is lower-cased (null stays null). Null, empty and blank texts are no cases and have no row. A text that
     ends in closing punctuation is complete unless a mark of omission stands there. With no intact text to learn from,
     only marks of omission and damaged ends count.
+
+    Two models are added up. One sets artificial cuts against intact values. The other sets them against the values as
+    they are that end without a mark, most of which are complete: these teach it the forms complete values end in where
+    no mark shows it, and what standing at the source's limit means. So that it judges no value it was shown, it is
+    trained twice, on either half of these, and scores the other half. ``prior`` is the share of cut ones among such
+    values at which the threshold is set.
     """
     rows = _prepared(df, key, text, source)
     found = limits(rows).withColumnRenamed("_source", "_of")
@@ -135,25 +211,50 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int
     marked = F.length(stripped) < F.length(F.regexp_replace("_text", r"[\s ]+$", ""))
     closed = ~marked & stripped.rlike(_CLOSED)
     final = F.regexp_replace(stripped, r"[.!?。！？]+$", "")
-    given = live.select("_key", "_source", marked.alias("_marked"), closed.alias("_closed"), features(final, F.col("_limit"), F.col("_text")).alias("words"))
-    train = training_rows(live, bound)
-    hashing = HashingTF(numFeatures=DIMENSIONS, inputCol="words", outputCol="features", binary=True)
-    labelled = hashing.transform(train.select("label", features(F.col("_t"), F.col("_limit")).alias("words")).repartition(12)).select("label", "features").persist()
-    if labelled.select("label").distinct().count() < 2:
-        p = F.when(F.col("_marked"), 1.0).otherwise(0.0)
-        scored = given.select("_key", "_source", p.alias("p_cut"))
+    shares = word_shares(live).persist()
+    given = live.select("_key", "_source", marked.alias("_marked"), closed.alias("_closed"), final.alias("_t"), F.length("_text").alias("_length"), "_limit")
+    given = _featured(_with_share(given, shares), ["_key", "_source", "_marked", "_closed"])
+    given = cut_lineage(_hashed(given).withColumn("_fold", F.pmod(F.xxhash64("_key"), F.lit(2))))
+    train = training_rows(live, bound).select("label", "_t", F.length("_t").alias("_length"), "_limit")
+    train = _hashed(_featured(_with_share(train, shares).repartition(8), ["label"])).withColumn("_fold", F.lit(-1).cast("bigint"))
+    loose = given.where(~F.col("_closed") & ~F.col("_marked")).orderBy(F.xxhash64("_key", F.lit("loose")), "_key").limit(bound)
+    labelled = cut_lineage(train.unionByName(loose.select(F.lit(0.0).alias("label"), "plain", "full", "_fold").repartition(4)))
+    shares.unpersist()
+    counts = {(r["label"], r["_fold"]): r["count"] for r in labelled.groupBy("label", "_fold").count().collect()}
+    cuts, intact = counts.get((1.0, -1), 0), counts.get((0.0, -1), 0)
+    if not cuts or not intact:
+        scored = given.select("_key", "_source", F.when(F.col("_marked"), 1.0).otherwise(0.0).alias("p_cut"))
     else:
-        model = LogisticRegression(maxIter=40, regParam=2e-5, standardization=False).fit(labelled)
-        labelled.unpersist()
-        from pyspark.ml.functions import vector_to_array
-
-        raw = model.transform(hashing.transform(given))
-        p = F.when(F.col("_closed"), 0.0).otherwise(vector_to_array("probability")[1])
-        p = F.when(F.col("_marked"), F.greatest(p, F.lit(0.9))).otherwise(p)
-        scored = raw.select("_key", "_source", p.alias("p_cut"))
+        known = _fit(labelled.where("_fold = -1"), "plain", intact / cuts)
+        base = known.transform(given).withColumn("_a", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
+        scored = None
+        for fold in (0, 1):
+            part, many = base.where(F.col("_fold") != fold), counts.get((0.0, fold), 0)
+            b = F.lit(0.0)
+            if many:
+                other = _fit(labelled.where(F.col("_fold").isin(-1, fold)), "full", 2 * prior * many / cuts)
+                part, b = other.transform(part), vector_to_array("rawPrediction")[1]
+            p = 1 / (1 + F.exp(-(F.col("_a") + b)))
+            p = F.when(F.col("_closed"), 0.0).when(F.col("_marked"), F.greatest(p, F.lit(0.9))).otherwise(p)
+            part = part.select("_key", "_source", p.alias("p_cut"))
+            scored = part if scored is None else scored.unionByName(part)
     return scored.select(F.col("_key").alias(key), F.col("_source").alias(source), "p_cut", (F.col("p_cut") >= THRESHOLD).alias("is_cut"))
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Hashed features with (``full``) and without (``plain``) the one on the source's limit, which comes last."""
+    rows = HashingTF(numFeatures=DIMENSIONS, inputCol="words", outputCol="full", binary=True).transform(rows)
+    rows = rows.withColumn("words", F.slice("words", 1, F.size("words") - 1))
+    return HashingTF(numFeatures=DIMENSIONS, inputCol="words", outputCol="plain", binary=True).transform(rows).drop("words")
+
+
+def _fit(labelled: DataFrame, features: str, cut_weight: float):
+    data = labelled.select("label", features, F.when(F.col("label") == 1.0, cut_weight).otherwise(1.0).alias("weight")).persist()
+    model = LogisticRegression(maxIter=30, regParam=1e-4, standardization=False, weightCol="weight", featuresCol=features).fit(data)
+    data.unpersist()
+    return model
+
+
 def truncation_rates(scored: DataFrame, key: str, source: str) -> DataFrame:
     """Per source: texts, cut texts and their share."""
     cut = F.sum(F.col("is_cut").cast("long"))
