@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +14,15 @@ from notegraph.operators.skew import hot_keys, salted_join
 from notegraph.session import cut_lineage
 
 #: Intact texts, at most, from which training rows are made; the only bound here, everything else covers all rows.
-TRAINING_TEXTS = 60_000
+TRAINING_TEXTS = 40_000
 #: Share of cut values expected among those without closing punctuation.
 PRIOR = 0.2
+#: A last word that begins a word so many times as frequent is torn, whatever the model says.
+TORN = 30.0
 #: Share of artificial cuts that are made to stand at the source's limit.
 AT_LIMIT = 0.6
 #: Dimensions of the hashed features.
-DIMENSIONS = 1 << 16
+DIMENSIONS = 1 << 18
 #: Share of all texts from which on the shape of an unpunctuated phrase counts as that of a complete one.
 RECURRENT_SHARE = 0.003
 #: A text is reported as cut from this probability on.
@@ -58,12 +59,12 @@ def _shape(word: str) -> str:
     return "Y" if word.endswith("ly") else "D" if word.endswith("ed") else "S" if word.endswith("s") else "X"
 
 
-def features(text: str, length: int, limit: int | None, share: float | None) -> list[str]:
+def features(text: str, length: int, limit: int | None, share: float | None, longer: float | None) -> list[str]:
     """Feature strings of a text's end: closing characters, last words, the skeleton of the last clause, brackets left
     open, how frequent the last word is in the corpus, and how the length stands to the source's limit.
 
     ``text`` is bare and without its final full stop; ``length`` is that of the value as stored; ``share`` is the last
-    word's share of all words of the corpus. All of a text counts for open brackets, its last clause for the rest.
+    word's share of all words of the corpus, ``longer`` that of the most frequent word it begins. All of a text counts for open brackets, its last clause for the rest.
     """
     low = text.lower()
     words = ["^"] * 3 + _WORD.findall(low[-200:])
@@ -73,10 +74,11 @@ def features(text: str, length: int, limit: int | None, share: float | None) ->
     quotes = f"{text.count(chr(34)) % 2}{text.count('`') % 2}{text.count('“') > text.count('”')}"
     reach = "none" if limit is None else "at" if length == limit else "over" if length > limit else "near" if length >= limit - 3 else "under"
     frequent = "none" if not share else str(round(math.log2(share)))
+    begins = "no" if not share or not longer or longer <= share else str(min(8, int(math.log2(longer / share))))
     w1, w2, w3 = words[-1], words[-2], words[-3]
     given = {
         "end": kind, "w1": w1, "w2": f"{w2} {w1}", "s2": f"{_shape(w2)} {w1}", "s3": f"{_shape(w3)} {_shape(w2)} {w1}", "skeleton": " ".join(inside[-12:]),
-        "f1": _shape(w1), "len1": min(len(w1), 12), "p1": w1[-3:], "round": text.count("(") > text.count(")"), "odd": quotes, "often": frequent, "oftenlen": f"{frequent} {min(len(w1), 6)}",
+        "f1": _shape(w1), "len1": min(len(w1), 12), "p1": w1[-3:], "round": text.count("(") > text.count(")"), "odd": quotes, "often": frequent, "begins": begins, "beginslen": f"{begins} {min(len(w1), 6)}", "oftenlen": f"{frequent} {min(len(w1), 6)}",
     } | {f"k{k}": " ".join(inside[-k:]) for k in (3, 4, 5, 6, 8)}
     return [f"{k}={v}" for k, v in given.items()] + [f"reach={reach}"]
 
@@ -108,32 +110,38 @@ def recurrent(rows: DataFrame, share: float = RECURRENT_SHARE, least: int = 10)
 
 
 def _featured(rows: DataFrame, carry: list[str]) -> DataFrame:
-    """Adds ``words`` to rows with ``_t``, ``_length``, ``_limit`` and ``_share``; done in Arrow batches, since interpreted
-    higher-order functions over the same splits took ten times as long."""
+    """Adds ``words``, the hashed features, that on the source's limit last, to rows with ``_t``, ``_length``, ``_limit``,
+    ``_share`` and ``_longer``. In Arrow batches: interpreted higher-order functions over the same splits took ten times as long."""
     kept = [f for f in rows.schema.fields if f.name in carry]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            t, length, limit, share = (batch.column(c).to_pylist() for c in ("_t", "_length", "_limit", "_share"))
-            words = pa.array([features(*x) for x in zip(t, length, limit, share)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), words], [*(f.name for f in kept), "words"])
+            given = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_t", "_length", "_limit", "_share", "_longer")]
+            words = [[zlib.crc32(f.encode()) % DIMENSIONS for f in features(*x)] for x in zip(*given)]
+            arrays = [*(batch.column(batch.schema.names.index(f.name)) for f in kept), pa.array(words, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), "words"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, f"{schema}, words array<string>")
+    return rows.mapInArrow(run, f"{schema}, words array<int>")
 
 
 def word_shares(rows: DataFrame) -> DataFrame:
-    """``(_last, _share)``: each word's share of all words, over all texts."""
+    """``(_last, _share, _longer)`` of every word and every beginning of a word, over all texts: its share of all words
+    (that of a single occurrence if it never stands alone) and the share of the most frequent word it begins."""
     words = rows.select(F.explode(F.split(F.lower("_text"), r"[^\p{L}\p{M}\p{N}_'’-]+")).alias("_last")).where(F.length("_last") > 0)
     counts = words.groupBy("_last").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 1
-    return counts.select("_last", (F.col("_n") / F.lit(float(total))).alias("_share"))
+    total = float(counts.agg(F.sum("_n")).first()[0] or 1)
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.length("_last") - 1, F.lit(24))), lambda i: F.substring("_last", F.lit(1), i))
+    starts = counts.where(F.length("_last") > 1).select(F.explode(begins).alias("_last"), F.lit(1).cast("bigint").alias("_n"), F.col("_n").alias("_m"))
+    both = counts.select("_last", "_n", F.lit(None).cast("bigint").alias("_m")).unionByName(starts)
+    most = both.groupBy("_last").agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"))
+    return most.select("_last", (F.col("_n") / total).alias("_share"), (F.col("_m") / total).alias("_longer"))
 
 
 def _with_share(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    """Joins the share of the last word of ``_t``; hot last words are salted."""
+    """Joins the shares of the last word of ``_t``; hot last words are salted."""
     last = F.regexp_extract(F.lower("_t"), r"([\p{L}\p{M}\p{N}_'’-]+)[^\p{L}\p{M}\p{N}_'’-]*$", 1)
     rows = rows.withColumn("_last", last)
     return salted_join(rows, shares, "_last", hot_keys(rows, "_last"), F.col("_t"), "left")
@@ -201,7 +209,7 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int
     they are that end without a mark, most of which are complete: these teach it the forms complete values end in where
     no mark shows it, and what standing at the source's limit means. So that it judges no value it was shown, it is
     trained twice, on either half of these, and scores the other half. ``prior`` is the share of cut ones among such
-    values at which the threshold is set.
+    values at which the threshold is set. One exact check follows: a last word torn off a far more frequent one is cut.
     """
     rows = _prepared(df, key, text, source)
     found = limits(rows).withColumnRenamed("_source", "_of")
@@ -211,48 +219,73 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int
     marked = F.length(stripped) < F.length(F.regexp_replace("_text", r"[\s ]+$", ""))
     closed = ~marked & stripped.rlike(_CLOSED)
     final = F.regexp_replace(stripped, r"[.!?。！？]+$", "")
-    shares = word_shares(live).persist()
+    shares = cut_lineage(word_shares(live))
     given = live.select("_key", "_source", marked.alias("_marked"), closed.alias("_closed"), final.alias("_t"), F.length("_text").alias("_length"), "_limit")
-    given = _featured(_with_share(given, shares), ["_key", "_source", "_marked", "_closed"])
-    given = cut_lineage(_hashed(given).withColumn("_fold", F.pmod(F.xxhash64("_key"), F.lit(2))))
+    given = given.withColumn("_fold", F.pmod(F.xxhash64("_key"), F.lit(2)).cast("int"))
+    torn = (F.coalesce(F.col("_longer") / F.col("_share"), F.lit(0.0)) >= TORN) & F.col("_t").rlike(r"\p{L}$") & ~F.col("_last").isin(FUNCTION_WORDS)
+    given = _with_share(given, shares).withColumn("_torn", torn)
+    given = cut_lineage(_featured(given, ["_key", "_source", "_marked", "_closed", "_fold", "_torn"]))
     train = training_rows(live, bound).select("label", "_t", F.length("_t").alias("_length"), "_limit")
-    train = _hashed(_featured(_with_share(train, shares).repartition(8), ["label"])).withColumn("_fold", F.lit(-1).cast("bigint"))
+    y, x, _ = _collected(_featured(_with_share(train, shares), ["label"]).select("label", "words", F.lit(-1).alias("_fold")))
     loose = given.where(~F.col("_closed") & ~F.col("_marked")).orderBy(F.xxhash64("_key", F.lit("loose")), "_key").limit(bound)
-    labelled = cut_lineage(train.unionByName(loose.select(F.lit(0.0).alias("label"), "plain", "full", "_fold").repartition(4)))
-    shares.unpersist()
-    counts = {(r["label"], r["_fold"]): r["count"] for r in labelled.groupBy("label", "_fold").count().collect()}
-    cuts, intact = counts.get((1.0, -1), 0), counts.get((0.0, -1), 0)
-    if not cuts or not intact:
-        scored = given.select("_key", "_source", F.when(F.col("_marked"), 1.0).otherwise(0.0).alias("p_cut"))
-    else:
-        known = _fit(labelled.where("_fold = -1"), "plain", intact / cuts)
-        base = known.transform(given).withColumn("_a", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
-        scored = None
+    _, open_x, open_fold = _collected(loose.select(F.lit(0.0).alias("label"), "words", "_fold"))
+    cuts, intact = int((y == 1).sum()), int((y == 0).sum())
+    models: list[np.ndarray] = []
+    if cuts and intact:
+        base = fit_logistic(x[:, :-1], y, np.where(y == 1, intact / cuts, 1.0))
         for fold in (0, 1):
-            part, many = base.where(F.col("_fold") != fold), counts.get((0.0, fold), 0)
-            b = F.lit(0.0)
-            if many:
-                other = _fit(labelled.where(F.col("_fold").isin(-1, fold)), "full", 2 * prior * many / cuts)
-                part, b = other.transform(part), vector_to_array("rawPrediction")[1]
-            p = 1 / (1 + F.exp(-(F.col("_a") + b)))
-            p = F.when(F.col("_closed"), 0.0).when(F.col("_marked"), F.greatest(p, F.lit(0.9))).otherwise(p)
-            part = part.select("_key", "_source", p.alias("p_cut"))
-            scored = part if scored is None else scored.unionByName(part)
-    return scored.select(F.col("_key").alias(key), F.col("_source").alias(source), "p_cut", (F.col("p_cut") >= THRESHOLD).alias("is_cut"))
+            more = open_x[open_fold != fold]
+            weights = np.concatenate([np.where(y == 1, 2 * prior * max(len(more), 1) / cuts, 1.0), np.ones(len(more))])
+            other = fit_logistic(np.concatenate([x, more]), np.concatenate([y, np.zeros(len(more))]), weights) if len(more) else np.zeros(DIMENSIONS + 1)
+            models.append(np.stack([base, other]).astype("f4"))
+    shared = df.sparkSession.sparkContext.broadcast(models)
 
+    def judge(batches):
+        import pyarrow as pa
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Hashed features with (``full``) and without (``plain``) the one on the source's limit, which comes last."""
-    rows = HashingTF(numFeatures=DIMENSIONS, inputCol="words", outputCol="full", binary=True).transform(rows)
-    rows = rows.withColumn("words", F.slice("words", 1, F.size("words") - 1))
-    return HashingTF(numFeatures=DIMENSIONS, inputCol="words", outputCol="plain", binary=True).transform(rows).drop("words")
+        for batch in batches:
+            marks, ends, folds, torn = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5))
+            p = np.where(marks, 1.0, 0.0)
+            if shared.value and batch.num_rows:
+                x = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
+                both = np.stack([m[0][x[:, :-1]].sum(1) + m[0][-1] + m[1][x].sum(1) + m[1][-1] for m in shared.value])
+                p = 1 / (1 + np.exp(-np.clip(both[folds, np.arange(len(folds))], -50, 50)))
+                p = np.where(ends, 0.0, np.where(marks, np.maximum(p, 0.9), np.where(torn, np.maximum(p, 0.75), p)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], ["_key", "_source", "p_cut"])
+
+    kind = df.schema[key].dataType.simpleString()
+    scored = given.select("_key", "_source", "_marked", "_closed", "_fold", "_torn", "words").mapInArrow(judge, f"_key {kind}, _source string, p_cut double")
+    return scored.select(F.col("_key").alias(key), F.col("_source").alias(source), "p_cut", (F.col("p_cut") >= THRESHOLD).alias("is_cut"))
 
 
-def _fit(labelled: DataFrame, features: str, cut_weight: float):
-    data = labelled.select("label", features, F.when(F.col("label") == 1.0, cut_weight).otherwise(1.0).alias("weight")).persist()
-    model = LogisticRegression(maxIter=30, regParam=1e-4, standardization=False, weightCol="weight", featuresCol=features).fit(data)
-    data.unpersist()
-    return model
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, features and folds of training rows, whose number the caller has bounded."""
+    table = rows.toArrow().combine_chunks()
+    n = table.num_rows
+    if not n:
+        return np.zeros(0), np.zeros((0, 1), "i4"), np.zeros(0, "i4")
+    words = table.column(1).combine_chunks()
+    words = words.chunk(0) if hasattr(words, "chunk") else words
+    order = np.lexsort(words.flatten().to_numpy().reshape(n, -1).T[::-1])
+    return table.column(0).to_numpy()[order], words.flatten().to_numpy().reshape(n, -1)[order], table.column(2).to_numpy()[order]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 5) -> np.ndarray:
+    """Logistic regression over hashed binary features (indices, one row a case) by AdaGrad; the last weight is the bias."""
+    w, seen = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8)
+    x = np.concatenate([x, np.full((len(x), 1), DIMENSIONS, x.dtype)], axis=1)
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        order = rng.permutation(len(x))
+        for start in range(0, len(x), 256):
+            rows = order[start : start + 256]
+            part = x[rows]
+            p = 1 / (1 + np.exp(-np.clip(w[part].sum(1), -30, 30)))
+            near, place = np.unique(part, return_inverse=True)
+            step = np.bincount(place.ravel(), np.repeat((p - y[rows]) * weight[rows], part.shape[1]), len(near)) / len(rows) + decay * w[near]
+            seen[near] += step * step
+            w[near] -= rate * step / np.sqrt(seen[near])
+    return w
 
 
 def truncation_rates(scored: DataFrame, key: str, source: str) -> DataFrame:
