@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegraph.functions.text import BLANK as _BLANK
 from notegraph.operators.skew import hot_keys, salted_join
 
-_BLANK = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def link_key(link: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from notegraph.plans import references
+from notegraph.plans import graph, notes, references, search
 
-QUERIES = {**references.QUERIES}
-ORACLES = {**references.ORACLES}
+_PARTS = (graph, notes, search, references)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
