@@ -67,6 +67,17 @@ def bm25(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, k
     return asked.join(weighed, "term").groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("w")).alias("score"))
 
 
+def bm25_top(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+    """The best ``k`` documents of each query: ``(query_key, key, score, rank)``.
+
+    Queries of the same terms are answered once: each distinct bag of terms is searched and cut to ``k``, and only then
+    are its queries joined. Logs repeat themselves, and pairs of queries and documents are what this search costs.
+    """
+    bags = queries.select(query_key, F.array_join(F.array_sort(tokens(F.col(query_text))), " ").alias("_bag")).where("_bag <> ''")
+    found = top_k(bm25(bags.select("_bag").distinct().withColumn("_text", F.col("_bag")), "_bag", "_text", docs, key, weights), "_bag", key, k)
+    return bags.join(found, "_bag").drop("_bag")
+
+
 def top_k(scored: DataFrame, by: str | list[str], key: str, k: int, score: str = "score", digits: int | None = 9) -> DataFrame:
     """The best ``k`` rows of each group by score, ties to the lesser key, with ``rank`` from 1.
 

@@ -9,7 +9,7 @@ from notegraph.operators import fusion
 from notegraph.operators import graph as g
 from notegraph.operators import retrieval
 from notegraph.operators.rules import SPACE_WEIGHTS, SPLIT_WEIGHTS, classify_intent
-from notegraph.operators.text_index import bm25, corpus_stats, doc_lengths, document_frequency, postings, top_k
+from notegraph.operators.text_index import bm25, bm25_top, corpus_stats, doc_lengths, document_frequency, postings, top_k
 from notegraph.plans.graph import TITLES, links_of, notes_of, pagerank_sql, ppr_sql, titles_of
 from notegraph.plans.notes import _LIVELY, lively_of, now
 from notegraph.session import cut_lineage
@@ -45,8 +45,8 @@ def q_bm25(spark, folder):
 
 def q_bm25_batch(spark, folder):
     """Top 10 notes for every search query."""
-    found = bm25(table(spark, folder, "search_queries"), "query_id", "query", notes_of(spark, folder), "title")
-    return top_k(found, "query_id", "title", 10).select("query_id", "title", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    found = bm25_top(table(spark, folder, "search_queries"), "query_id", "query", notes_of(spark, folder), "title")
+    return found.select("query_id", "title", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _signals(spark, folder):
