@@ -124,9 +124,19 @@ def test_plan_places_every_item_within_capacity(histogram):
             room[at] += s.length
     assert Counter({n: sum(s.count for s in slots if s.length == n) for n in histogram}) == Counter(histogram)
     assert all(v <= 40 for v in room.values()) and set(room) == set(range(containers))
-    total = sum(k * v for k, v in histogram.items())
-    least = max(-(-total // 40), sum(v for k, v in histogram.items() if k > 20))  # no two of these fit together
-    assert containers <= 11 / 9 * least + 4
+    assert containers == best_fit_decreasing(histogram, 40)
+
+
+def best_fit_decreasing(histogram, capacity):
+    """Item by item: the tightest open container that holds it, else a new one."""
+    rooms = []
+    for length in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= length]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= length
+        else:
+            rooms.append(capacity - length)
+    return len(rooms)
 
 
 def test_packing_divides_only_what_exceeds_the_capacity(spark):
