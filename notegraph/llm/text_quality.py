@@ -274,6 +274,13 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return vector(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
 
 
+def _cells_in_rows(s: dict[str, float]) -> bool:
+    """The exact check after the mixture: three lines or more, nearly all of cells, distinct, with figures and words among
+    the symbols. Menus have no figures, dumps and noise no cells or hardly anything but symbols."""
+    rows = s["n_lines"] >= 3 and s["cell_line_share"] >= 0.9 and s["distinct_line_share"] >= 0.8
+    return rows and s["digit_ratio"] >= 0.05 and s["symbol_ratio"] < 0.6 and s["mean_word_length"] > 0.2 and s["damaged_ratio"] < 0.02
+
+
 def classify_documents(docs: DataFrame, key: str, text: str, rounds: int = 6) -> DataFrame:
     """``(key, kind, *STATISTICS)``: the statistics with ``kind`` prose, list, table or junk.
 
@@ -290,8 +297,9 @@ def classify_documents(docs: DataFrame, key: str, text: str, rounds: int = 6) ->
             kinds: list[str | None] = [None] * batch.num_rows
             if known.any():
                 x = vector(np.stack([c.to_numpy(zero_copy_only=False)[known] for c in columns], axis=1))
-                for i, kind in zip(np.nonzero(known)[0], shared.value.classify(x)):
-                    kinds[i] = kind
+                s = np.stack([c.to_numpy(zero_copy_only=False)[known] for c in columns], axis=1)
+                for i, kind, row in zip(np.nonzero(known)[0], shared.value.classify(x), s):
+                    kinds[i] = "table" if kind == "junk" and _cells_in_rows(dict(zip(STATISTICS, row))) else kind
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), *columns], ["key", "kind", *STATISTICS])
 
     kind = docs.schema[key].dataType.simpleString()
