@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per context: they need not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_notegraph_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="notegraph-package-"))
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(folder / "notegraph.zip", "w") as z:
+        for part in sorted(root.rglob("*.py")):
+            z.write(part, Path("notegraph") / part.relative_to(root))
+    context.addPyFile(str(folder / "notegraph.zip"))
+    context._notegraph_shipped = True
