@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A line is boilerplate of its host when this share of the host's records has it, and at least so many.
-BOILERPLATE_SHARE, BOILERPLATE_RECORDS = 0.05, 50
+#: A line is boilerplate of its host when this share of the host's distinct texts has it, and more than one.
+BOILERPLATE_SHARE = 0.05
 #: Boilerplate lines up to which they are broadcast; beyond, they are joined by host.
 BROADCAST_LINES = 100_000
 
@@ -77,15 +77,17 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{Nd}+", "0"), r"[\s ]+", " "))
 
 
-def boilerplate(df: DataFrame, key: str, text: str, host: str, share: float = BOILERPLATE_SHARE, records: int = BOILERPLATE_RECORDS) -> DataFrame:
-    """``(host, line)``: normalised lines that ``share`` of a host's records have, and at least ``records`` of them.
+def boilerplate(df: DataFrame, text: str, host: str, share: float = BOILERPLATE_SHARE) -> DataFrame:
+    """``(host, line)``: normalised lines that recur in ``share`` of a host's distinct texts.
 
-    Lines are counted by hash, once a record, with map-side sums over all records; only recurrent ones are kept, at most
-    (lines a record) / ``share`` per host.
+    Copies of one text count once, so that a page served under many keys is not taken for lines that many texts share.
+    Lines are counted with map-side sums over all texts; only recurrent ones are kept, at most (lines a text) / ``share``
+    per host.
     """
-    rows = df.select(F.col(host).alias("host"), F.col(key).alias("_id"), F.array_distinct(F.transform(F.split(text, r"\r\n|\r|\n"), normal_line)).alias("_lines"))
+    texts = df.select(F.col(host).alias("host"), F.col(text).alias("_text")).distinct()
+    rows = texts.select("host", F.array_distinct(F.transform(F.split("_text", r"\r\n|\r|\n"), normal_line)).alias("_lines"))
     lines = rows.select("host", F.explode("_lines").alias("line")).where(F.length("line") > 0)
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= records)
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("_total")).withColumnRenamed("host", "_h")
     return counts.join(totals, F.col("host").eqNullSafe(F.col("_h"))).where(F.col("n") >= share * F.col("_total")).select("host", "line")
 
@@ -137,38 +139,70 @@ def _evidence(text: str) -> str | None:
     return None
 
 
+def _blocks(text: str) -> list[str]:
+    return [b for b in _BLOCKS.split(text) if b.strip()]
+
+
+def _places(block: str) -> bool:
+    """Whether a line of a block is an unfilled place."""
+    lines = block.split("\n")
+    if 1 < len(lines) <= 40:
+        for line in lines:
+            stripped = _MARKS.sub("", line).strip()
+            if stripped and (_ONLY_PLACES.fullmatch(stripped) or _ONLY_PLACES.fullmatch(_LABEL.sub("", stripped))):
+                return True
+    return False
+
+
+def _recurrent_kind(text: str, bare: bool) -> str | None:
+    """The kind of residue a text has although lines of it recur: unfilled places and filler are residue however many
+    texts have them; a notice or status line is where it is all there is. ``bare``: no line is the text's own."""
+    blocks = _blocks(text)
+    found = [evidence(b) for b in blocks]
+    for block, kind in zip(blocks, found):
+        if kind in ("placeholder", "filler"):
+            return kind
+        if _places(block):
+            return "placeholder"
+    kinds = [k for k in found if k]
+    if kinds and (len(kinds) == len(found) or (bare and all(k or _ADDRESS.search(b) or _FAULT.search(b) or _NOTICE.search(b) for b, k in zip(blocks, found)))):
+        return kinds[0]
+    return None
+
+
 def residue_kind(body: str | None, common: frozenset[str] = frozenset()) -> str | None:
-    """The kind of residue a body has, as a whole or in one of its blocks, after boilerplate lines are subtracted."""
+    """The kind of residue a body has, as a whole or in one of its blocks, after boilerplate lines are subtracted; what
+    is residue whether or not it recurs is judged before."""
     if not body or body.isspace():
         return None
-    text = body.replace("\r\n", "\n").replace("\r", "\n")
+    text = _SPAN.sub(" \x00 ", _CODE.sub("\n\n", body.replace("\r\n", "\n").replace("\r", "\n")))
     if common:
-        text = "\n".join(x for x in text.split("\n") if " ".join(re.sub(r"\d+", "0", x.lower()).split()) not in common)
-    text = _SPAN.sub(" \x00 ", _CODE.sub("\n\n", text))
-    blocks = [b for b in _BLOCKS.split(text) if b.strip()]
+        lines = text.split("\n")
+        own = [x for x in lines if " ".join(re.sub(r"\d+", "0", x.lower()).split()) not in common]
+        if len(own) < len(lines):
+            if found := _recurrent_kind(text, not any(x.strip() for x in own)):
+                return found
+            text = "\n".join(own)
+    blocks = _blocks(text)
     if len(blocks) <= 4 and (found := evidence(text)):
         return found
     for block in blocks:
         if found := evidence(block):
             return found
-        lines = block.split("\n")
-        if 1 < len(lines) <= 40:
-            for line in lines:
-                stripped = _MARKS.sub("", line).strip()
-                if stripped and (_ONLY_PLACES.fullmatch(stripped) or _ONLY_PLACES.fullmatch(_LABEL.sub("", stripped))):
-                    return "placeholder"
+        if _places(block):
+            return "placeholder"
     return None
 
 
 def find_residue(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """``(key, residue)`` for every row: the kind of residue its text has, null if none.
 
-    Null, empty and blank texts have none. Boilerplate is counted per ``host`` (null hosts are one host). Code blocks
+    Null, empty and blank texts have none. Boilerplate is counted per ``host`` (null hosts are one host), over distinct texts. Code blocks
     and spans are set aside first: what they show is no residue. Null keys are dropped, exact duplicate rows are kept
     once, extra columns are ignored.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(host).cast("string").alias("host")).distinct()
-    common = boilerplate(rows, "key", "text", "host").groupBy("host").agg(F.collect_set("line").alias("common")).withColumnRenamed("host", "_h")
+    common = boilerplate(rows, "text", "host").groupBy("host").agg(F.collect_set("line").alias("common")).withColumnRenamed("host", "_h")
     if common.select(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0] <= BROADCAST_LINES:
         common = F.broadcast(common)
     joined = rows.join(common, F.col("host").eqNullSafe(F.col("_h")), "left").select("key", "text", "common")
