@@ -39,23 +39,47 @@ def lively_of(spark, folder):
     return lifecycle.note_vitality(notes, edges, simple_bridges(notes, edges), None, now())
 
 
-def q_vitality(spark, folder):
-    return lively_of(spark, folder).select("title", F.round("vitality", 6).alias("vitality"), "in_degree", "zone")
+def whole_lively_of(spark, folder):
+    """Vitality with all four rules of bridges, articulation points among them, and with boosts, which the SQL
+    counterparts of the queries of the same names leave out."""
+    notes, edges = notes_of(spark, folder), cut_lineage(links_of(spark, folder))
+    boosts = notes.select("title", F.col("note_id").alias("user_id")).join(boosts_table(spark, folder), "user_id")
+    return lifecycle.note_vitality(notes, edges, cut_lineage(g.bridges(notes, edges).select("id")), boosts, now())
+
+
+def q_vitality(spark, folder, lively=lively_of):
+    return lively(spark, folder).select("title", F.round("vitality", 6).alias("vitality"), "in_degree", "zone")
+
+
+def q_vitality_whole(spark, folder):
+    return q_vitality(spark, folder, whole_lively_of)
+
+
+def q_zone_counts(spark, folder, lively=lively_of):
+    return lifecycle.zone_counts(lively(spark, folder)).select("zone", F.col("n").cast("bigint").alias("n"))
+
 
+def q_zone_counts_whole(spark, folder):
+    return q_zone_counts(spark, folder, whole_lively_of)
 
-def q_zone_counts(spark, folder):
-    return lifecycle.zone_counts(lively_of(spark, folder)).select("zone", F.col("n").cast("bigint").alias("n"))
 
+def q_fading(spark, folder, lively=lively_of):
+    return lifecycle.fading(lively(spark, folder)).select("title", F.round("vitality", 6).alias("vitality"))
 
-def q_fading(spark, folder):
-    return lifecycle.fading(lively_of(spark, folder)).select("title", F.round("vitality", 6).alias("vitality"))
 
+def q_fading_whole(spark, folder):
+    return q_fading(spark, folder, whole_lively_of)
 
-def q_by_vitality(spark, folder):
-    best = lively_of(spark, folder).where("vitality is not null").orderBy(F.round("vitality", 9).desc(), "title").limit(10)
+
+def q_by_vitality(spark, folder, lively=lively_of):
+    best = lively(spark, folder).where("vitality is not null").orderBy(F.round("vitality", 9).desc(), "title").limit(10)
     return best.select("title", F.round("vitality", 6).alias("vitality"))
 
 
+def q_by_vitality_whole(spark, folder):
+    return q_by_vitality(spark, folder, whole_lively_of)
+
+
 def q_archive(spark, folder):
     return lifecycle.to_archive(notes_of(spark, folder), links_of(spark, folder), now())
 
@@ -65,15 +89,23 @@ def q_archive_applied(spark, folder):
     return lifecycle.with_status(notes, q_archive(spark, folder), "archived").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_prune(spark, folder):
-    return lifecycle.prune_candidates(lively_of(spark, folder)).select("title", "zone", "in_degree", F.round("vitality", 6).alias("vitality"))
+def q_prune(spark, folder, lively=lively_of):
+    return lifecycle.prune_candidates(lively(spark, folder)).select("title", "zone", "in_degree", F.round("vitality", 6).alias("vitality"))
+
 
+def q_prune_whole(spark, folder):
+    return q_prune(spark, folder, whole_lively_of)
 
-def q_hotspots(spark, folder):
-    spots = lifecycle.hotspots(lively_of(spark, folder), g.communities(links_of(spark, folder)))
+
+def q_hotspots(spark, folder, lively=lively_of):
+    spots = lifecycle.hotspots(lively(spark, folder), g.communities(links_of(spark, folder)))
     return spots.select("community", "size", F.round("mean_vitality", 6).alias("mean_vitality"), F.array_join("top_members", "|").alias("top_members"))
 
 
+def q_hotspots_whole(spark, folder):
+    return q_hotspots(spark, folder, whole_lively_of)
+
+
 def q_simple_decay(spark, folder):
     days = decay.days_between(lifecycle.created_at(F.coalesce("last_accessed", "created")), now())
     return notes_of(spark, folder).select("title", F.round(decay.simple_decay(days), 6).alias("vitality")).where("vitality is not null")
