@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 BOILERPLATE_SHARE = 0.05
 #: Boilerplate lines up to which they are broadcast; beyond, they are joined by host.
 BROADCAST_LINES = 100_000
+#: A text of more words is a notice only by the share of its words in sentences that belong to one.
+NOTICE_WORDS, NOTICE_SHARE = 45, 0.75
+#: Characters a slot, at most, in a text that its slots make a template.
+SLOT_CHARS = 120
 
 _CODE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)|<(pre|code)\b[^<>]*>.*?</\2\s*>", re.S | re.M | re.I)
 _SPAN = re.compile(r"(`+)(?!`)[^\n]+?(?<!`)\1(?!`)")
 _BLOCKS = re.compile(r"\n[ \t]*\n+")
 _MARKS = re.compile(r"^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+(?:\[[ xX]\][ \t]+)?|\d{1,3}[.)][ \t]+)|[ \t]*$", re.M)
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(style|script|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_FALLBACK = re.compile(r"<noscript\b.*?(?:</noscript\s*>|\Z)", re.S | re.I)
+_TAG = re.compile(r"<[^<>]*>")
 _LABEL = re.compile(r"^(?:[\w'’-]+[ \t]){0,4}[\w'’-]+:[ \t]+(?=\S)")
 
 # Forms of a place in a template. Each must fill its block (but for a label) to count.
@@ -49,7 +57,7 @@ _FILLER = re.compile(r"(?:(?:foo|bar|baz|qux|blah?|asdf|qwerty|test|dummy|lorem|
 _REASON = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access denied|page not found)"
 _STATUS = re.compile(
     rf"HTTP/\d(?:\.\d)?[ \t]+[1-5]\d\d\b.*|(?:error|http|status|fehler|erreur)?[ \t:#-]*[45]\d\d[ \t:.–—-]+(?:error[ \t:.-]+)?{_REASON}\b.{{0,160}}|{_REASON}[. ]*|(?:error|fehler|erreur)[ \t:#]*[45]\d\d\b.{{0,60}}|"
-    rf"<html\b.*<title>[^<]*(?:[45]\d\d|error|not found|denied|unavailable)[^<]*</title>.*|<div class=[\"'][^\"']*\berror\b[^\"']*[\"']>.*|"
+    rf"(?:<!doctype\b[^<>]*>\s*)?<html\b.*<title>[^<]*(?:[45]\d\d|error|not found|denied|unavailable)[^<]*</title>.*|<div class=[\"'][^\"']*\berror\b[^\"']*[\"']>.*|"
     r"\{\s*\"(?:error|errors|status|code|message|fault)\"\s*:.*(?:[45]\d\d|error|denied|not found|unavailable).*\}|<\?xml\b.*<(?:error|fault)\b.*|"
     r"upstream (?:connect error|request timeout|timed out)\b.*|(?:no healthy upstream|connection (?:refused|reset by peer|timed out))\b.{0,120}|traceback (?:id|\(most recent)\b.*|default backend - 404",
     re.I | re.S,
@@ -98,8 +106,6 @@ def evidence(block: str) -> str | None:
     The whole block must be residue, but for a label before it: text that writes about such things is not.
     """
     plain = block.strip()
-    if not plain or len(plain) > 4000:
-        return None if len(plain) <= 4000 else _filler(plain)
     for form in dict.fromkeys((plain, _MARKS.sub("", plain), _LABEL.sub("", _MARKS.sub("", plain)))):
         found = _evidence(form.strip())
         if found:
@@ -121,22 +127,41 @@ def _evidence(text: str) -> str | None:
         return None
     if _ONLY_PLACES.fullmatch(text) or _STUBS.fullmatch(text) or _GREETING.fullmatch(text):
         return "placeholder"
-    if len(text) < 240 and len(_SLOT.findall(text)) >= 2:
+    slots = len(_SLOT.findall(text))
+    if slots >= 2 and len(text) < SLOT_CHARS * slots:
         return "placeholder"
     if found := _filler(text):
         return found
-    low = text.lower()
-    if low.startswith("<noscript") or ("<noscript" in low and len(text) < 600 and not re.sub(r"<noscript\b.*?</noscript>", "", low, flags=re.S).strip()):
+    if _noscript_page(text):
         return "script"
     if _STATUS.fullmatch(text):
         return "error"
-    if len(text.split()) <= 45:
-        addressed = len(_ADDRESS.findall(text))
-        if addressed and _NOTICE.search(text) and _DEMAND.search(text):
-            return "script"
-        if addressed and _FAULT.search(text):
-            return "error"
-    return None
+    return _notice(text)
+
+
+def _noscript_page(text: str) -> bool:
+    """Whether what a block shows is for the greater part the fallback for readers without scripts."""
+    if "<noscript" not in text.lower():
+        return False
+    shown = _UNSEEN.sub(" ", text)
+    inside = sum(len(_TAG.sub(" ", x).split()) for x in _FALLBACK.findall(shown))
+    return inside > len(_TAG.sub(" ", _FALLBACK.sub(" ", shown)).split())
+
+
+def _notice(text: str) -> str | None:
+    """``script`` or ``error`` if a text is a notice to the reader: up to ``NOTICE_WORDS`` words if it says so anywhere,
+    beyond if it begins so and ``NOTICE_SHARE`` of its words stand in sentences that belong to such a notice."""
+    long = len(text.split()) > NOTICE_WORDS
+    sentences = [x for x in _SENTENCES.split(text) if x.strip()] if long else [text]
+    said = " ".join(sentences[:2])
+    if not _ADDRESS.search(said):
+        return None
+    found = "script" if _NOTICE.search(said) and _DEMAND.search(said) else "error" if _FAULT.search(said) else None
+    if found and long:
+        words = [len(x.split()) for x in sentences]
+        about = sum(n for n, x in zip(words, sentences) if _FAULT.search(x) or _NOTICE.search(x) or _ADDRESS.search(x))
+        return found if about >= NOTICE_SHARE * sum(words) else None
+    return found
 
 
 def _blocks(text: str) -> list[str]:
@@ -146,7 +171,7 @@ def _blocks(text: str) -> list[str]:
 def _places(block: str) -> bool:
     """Whether a line of a block is an unfilled place."""
     lines = block.split("\n")
-    if 1 < len(lines) <= 40:
+    if len(lines) > 1:
         for line in lines:
             stripped = _MARKS.sub("", line).strip()
             if stripped and (_ONLY_PLACES.fullmatch(stripped) or _ONLY_PLACES.fullmatch(_LABEL.sub("", stripped))):
@@ -184,7 +209,7 @@ def residue_kind(body: str | None, common: frozenset[str] = frozenset()) -> str
                 return found
             text = "\n".join(own)
     blocks = _blocks(text)
-    if len(blocks) <= 4 and (found := evidence(text)):
+    if found := evidence(text):
         return found
     for block in blocks:
         if found := evidence(block):

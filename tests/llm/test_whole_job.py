@@ -33,3 +33,19 @@ def test_the_share_decides_in_spaces_of_any_size(spark):
 def test_fences_that_recur_still_mark_code():
     fenced = "Text.\n\n```\n{{ slot }}\n```\n\nMore text."
     assert residue.residue_kind(fenced, frozenset({"```"})) is None
+
+
+def test_blocks_of_any_length_are_searched():
+    css = "\n".join(f".part-{i} {{ margin: {i}px; padding: {i}px; }}" for i in range(300))
+    page = f"<!DOCTYPE html>\n<html><head><style>\n{css}\n</style><title>502 Bad Gateway</title></head>\n<body><h1>502</h1></body></html>"
+    shell = f"<noscript>You need scripts to run this app.</noscript>\n<style>\n{css}\n</style>\n<div id=root></div>"
+    notice = "Checking your browser before you continue. Please enable JavaScript and cookies to go on. " + "If you still see this page, check that your browser is supported and reload the site. " * 4
+    template = "\n".join([f"A line that is filled, number {i}" for i in range(60)] + ["Summary: {{summary}}"])
+    parts = "\n\n".join(["<html><head>", "<style>a { b: c }</style>", "<meta>", "<title>404 Not Found</title></head>", "<body>", "</body></html>"])
+    assert [residue.residue_kind(x) for x in (page, shell, notice, template, parts)] == ["error", "script", "script", "placeholder", "error"]
+
+
+def test_long_text_about_notices_is_none():
+    prose = "Please enable JavaScript in your browser is what the old page said. " + "The renderer waits for the queue, then writes every note and its links to the index in one go. " * 6
+    page = "<noscript>Scripts are off.</noscript> " + "The rest of the block is a note of its own, and it goes on for a while. " * 4
+    assert residue.residue_kind(prose) is None and residue.residue_kind(page) is None
