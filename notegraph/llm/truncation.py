@@ -84,29 +84,31 @@ def features(text: str, length: int, limit: int | None, share: float | None, lon
 
 
 def whole_skeleton(text: str | None) -> str | None:
-    """The skeleton of a text that is one clause of four words or more and ends in a letter; None for others."""
+    """The skeleton of a text that is one clause of four words or more and ends in a letter, with no function word last,
+    after which a sentence goes on; None for others."""
     text = (text or "").strip()
     if not text[-1:].isalpha() or len(text) > 120 or _CLAUSE.search(text):
         return None
     words = _WORD.findall(text.lower())
-    return " ".join(map(_shape, words)) if len(words) >= 4 else None
+    return " ".join(map(_shape, words)) if len(words) >= 4 and words[-1] not in _KNOWN else None
 
 
 def recurrent(rows: DataFrame, share: float = RECURRENT_SHARE, least: int = 10) -> DataFrame:
-    """The keys of texts without final punctuation whose skeleton ``share`` of all texts have: complete phrases such as
-    titles. A cut falls anywhere, so what it leaves does not recur. Counted over all texts."""
+    """The texts without final punctuation, as ``_text``, whose skeleton ``share`` of all distinct texts have: complete
+    phrases such as titles. A cut falls anywhere, so what it leaves does not recur. Copies of a text count once, and a
+    text that stands at its source's limit is not taken, as it may be cut there."""
+    texts = rows.groupBy("_text").agg(F.max(F.coalesce(F.length("_text") == F.col("_limit"), F.lit(False))).alias("_at"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([whole_skeleton(t) for t in batch.column(1).to_pylist()], pa.string())], ["_key", "_form"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([whole_skeleton(t) for t in batch.column(0).to_pylist()], pa.string())], ["_text", "_form"])
 
-    kind = rows.schema["_key"].dataType.simpleString()
-    forms = rows.select("_key", "_text").mapInArrow(run, f"_key {kind}, _form string")
+    forms = texts.where("not _at").select("_text").mapInArrow(run, "_text string, _form string")
     counts = forms.where("_form is not null").groupBy("_form").agg(F.count(F.lit(1)).alias("_n"))
-    common = [r[0] for r in counts.where(F.col("_n") >= max(least, share * rows.count())).orderBy(F.desc("_n")).limit(int(1 / share)).collect()]
-    return forms.where(F.col("_form").isin(common)).select("_key") if common else forms.where("false").select("_key")
+    common = [r[0] for r in counts.where(F.col("_n") >= max(least, share * texts.count())).orderBy(F.desc("_n")).limit(int(1 / share)).collect()]
+    return forms.where(F.col("_form").isin(common)).select("_text") if common else forms.where("false").select("_text")
 
 
 def _featured(rows: DataFrame, carry: list[str]) -> DataFrame:
@@ -179,9 +181,10 @@ def training_rows(rows: DataFrame, bound: int = TRAINING_TEXTS) -> DataFrame:
     Each gives itself without its final mark as a negative, and three positives: cut at a place drawn from the hash of
     the key, inside a word or between words. At most ``bound`` texts are taken, by the order of that hash.
     """
-    rows = rows.join(recurrent(rows).withColumn("_recurs", F.lit(True)), "_key", "left")
+    rows = rows.join(recurrent(rows).withColumn("_recurs", F.lit(True)), "_text", "left")
     ended = F.col("_text").rlike(_CLOSED) & ~F.col("_text").rlike(r"(?:\.\.|…)$")
     intact = rows.where((ended | F.col("_recurs")) & (F.size(F.split(F.trim("_text"), r"\s+")) >= 4))
+    intact = intact.groupBy("_text").agg(F.min(F.struct("_key", "_limit")).alias("r")).select("r._key", "r._limit", "_text")
     intact = intact.orderBy(F.xxhash64("_key"), "_key").limit(bound)
     whole = F.regexp_replace(F.trim("_text"), r"[.!?。！？]+$", "")
     base = intact.select("_key", "_limit", whole.alias("_t"))
@@ -208,26 +211,28 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int
     Two models are added up. One sets artificial cuts against intact values. The other sets them against the values as
     they are that end without a mark, most of which are complete: these teach it the forms complete values end in where
     no mark shows it, and what standing at the source's limit means. So that it judges no value it was shown, it is
-    trained twice, on either half of these, and scores the other half. ``prior`` is the share of cut ones among such
+    trained twice, on either half of these by text, and scores the other half. Copies of a text count once in all that is
+    counted or learnt. ``prior`` is the share of cut ones among such
     values at which the threshold is set. One exact check follows: a last word torn off a far more frequent one is cut.
     """
     rows = _prepared(df, key, text, source)
-    found = limits(rows).withColumnRenamed("_source", "_of")
+    found = limits(rows.select("_source", "_text").distinct()).withColumnRenamed("_source", "_of")
     rows = rows.join(found, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     live = rows.where(F.length(F.regexp_replace("_text", r"[\s ​﻿]+", "")) > 0)
     stripped = bare(F.col("_text"))
     marked = F.length(stripped) < F.length(F.regexp_replace("_text", r"[\s ]+$", ""))
     closed = ~marked & stripped.rlike(_CLOSED)
     final = F.regexp_replace(stripped, r"[.!?。！？]+$", "")
-    shares = cut_lineage(word_shares(live))
+    shares = cut_lineage(word_shares(live.select("_text").distinct()))
     given = live.select("_key", "_source", marked.alias("_marked"), closed.alias("_closed"), final.alias("_t"), F.length("_text").alias("_length"), "_limit")
-    given = given.withColumn("_fold", F.pmod(F.xxhash64("_key"), F.lit(2)).cast("int"))
+    given = given.withColumn("_fold", F.pmod(F.xxhash64("_t"), F.lit(2)).cast("int"))
     torn = (F.coalesce(F.col("_longer") / F.col("_share"), F.lit(0.0)) >= TORN) & F.col("_t").rlike(r"\p{L}$") & ~F.col("_last").isin(FUNCTION_WORDS)
     given = _with_share(given, shares).withColumn("_torn", torn)
     given = cut_lineage(_featured(given, ["_key", "_source", "_marked", "_closed", "_fold", "_torn"]))
     train = training_rows(live, bound).select("label", "_t", F.length("_t").alias("_length"), "_limit")
     y, x, _ = _collected(_featured(_with_share(train, shares), ["label"]).select("label", "words", F.lit(-1).alias("_fold")))
-    loose = given.where(~F.col("_closed") & ~F.col("_marked")).orderBy(F.xxhash64("_key", F.lit("loose")), "_key").limit(bound)
+    loose = given.where(~F.col("_closed") & ~F.col("_marked")).groupBy("words").agg(F.min(F.struct("_key", "_fold")).alias("r")).select("r._key", "r._fold", "words")
+    loose = loose.orderBy(F.xxhash64("_key", F.lit("loose")), "_key").limit(bound)
     _, open_x, open_fold = _collected(loose.select(F.lit(0.0).alias("label"), "words", "_fold"))
     cuts, intact = int((y == 1).sum()), int((y == 0).sum())
     models: list[np.ndarray] = []

@@ -1,6 +1,8 @@
 """Cases that a cut in an operator would leave out."""
 
-from notegraph.llm import residue
+import random
+
+from notegraph.llm import residue, truncation
 
 
 def kinds(spark, rows):
@@ -49,3 +51,14 @@ def test_long_text_about_notices_is_none():
     prose = "Please enable JavaScript in your browser is what the old page said. " + "The renderer waits for the queue, then writes every note and its links to the index in one go. " * 6
     page = "<noscript>Scripts are off.</noscript> " + "The rest of the block is a note of its own, and it goes on for a while. " * 4
     assert residue.residue_kind(prose) is None and residue.residue_kind(page) is None
+
+
+def test_copies_of_a_cut_text_are_not_learnt_as_complete(spark):
+    rnd = random.Random(3)
+    nouns, verbs, ends = "garden bridge window kitchen painter letter".split(), "closes opens repairs keeps".split(), ["near the river", "before the winter", "for the old teacher", "without a plan"]
+    rows = [(i, f"The {rnd.choice(nouns)} of the {rnd.choice(nouns)} {rnd.choice(verbs)} every {rnd.choice(nouns)} {rnd.choice(ends)}" + ("." if i % 2 else ""), "alpha") for i in range(1200)]
+    cuts = ["The painter of the bridge repairs every", "The letter of the garden keeps every kitchen near the", "The window of the bri"]
+    copies = [(5000 + i, cuts[i % 3], "beta") for i in range(600)]
+    df = spark.createDataFrame(rows + copies, "id bigint, text string, source string")
+    found = {r.id: r.is_cut for r in truncation.score_truncation(df, "id", "text", "source").collect()}
+    assert all(found[k] for k, _, _ in copies) and sum(found[k] for k, _, _ in rows) < 0.03 * len(rows)
