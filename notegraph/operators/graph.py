@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from notegraph.operators.skew import spread_row_number
 from notegraph.session import cut_lineage
 
-#: Edges up to which an adjacency is broadcast (two longs each: 160 MB).
+#: Edges and nodes up to which an adjacency is broadcast (120 MB as integers).
 BROADCAST_EDGES = 10_000_000
+#: Edges of a component up to which one task searches it.
+TASK_EDGES = 1_000_000
 
 
 def link_scan(notes: DataFrame, title: str, content: str) -> DataFrame:
@@ -109,18 +112,23 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
     reads the ranks twice (what is passed on, what is lost at sinks), so they are written to the shared folder each
     round: a chain of rounds would be planned twice as large with every one.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = degree(edges, "src").select(F.col("id").alias("src"), F.col("degree").alias("out"))
-    links = cut_lineage(edges.join(out, "src").select("src", "dst", "out"))
     every = cut_lineage(nodes(edges).join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("sink")))
     n = every.count()
     if not n:
         return every.select("id", F.lit(0.0).alias("rank"))
+    # Links stay where their source is, nodes where their id is, through all rounds: only ranks travel.
+    links = cut_lineage(edges.join(out, "src").select("src", "dst", "out")).repartition(parts, "src").persist()
+    placed = every.repartition(parts, "id").persist()
     ranks = every.select("id", "sink", F.lit(1.0 / n).alias("rank"))
     for _ in range(rounds):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         sent = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        new = every.join(sent, "id", "left").crossJoin(F.broadcast(lost))
+        new = placed.join(sent, "id", "left").crossJoin(F.broadcast(lost))
         ranks = cut_lineage(new.select("id", "sink", (F.lit((1 - alpha) / n) + F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(n))).alias("rank")))
+    links.unpersist()
+    placed.unpersist()
     return ranks.select("id", "rank")
 
 
@@ -153,26 +161,30 @@ def spread_activation(edges: DataFrame, sources: DataFrame, damping: float = 0.6
     """``(source, id, hop, boost)`` from ``sources(source, utility)``: undirected, two hops, utility x damping^hop.
 
     A node below ``least`` gets nothing and passes nothing on; the source itself gets none; a node within both hops
-    counts at the nearer. Utilities that are not positive give nothing.
+    counts at the nearer. Utilities that are not positive give nothing. Where ``sources`` has a column ``start``, that is
+    the node from which a source spreads, so that one node may spread on several occasions.
     """
     links = both_ways(edges)
-    start = sources.where("utility > 0").groupBy("source").agg(F.max("utility").alias("utility"))
-    first = start.join(links, F.col("source") == F.col("src")).select("source", "utility", F.col("dst").alias("id"), F.lit(1).alias("hop")).where(F.col("utility") * damping >= least)
-    second = first.join(links, F.col("id") == F.col("src")).select("source", "utility", F.col("dst").alias("id"), F.lit(2).alias("hop")).where((F.col("id") != F.col("source")) & (F.col("utility") * damping * damping >= least))
+    if "start" not in sources.columns:
+        sources = sources.withColumn("start", F.col("source"))
+    start = sources.where("utility > 0").groupBy("source", "start").agg(F.max("utility").alias("utility"))
+    first = start.join(links, F.col("start") == F.col("src")).select("source", "start", "utility", F.col("dst").alias("id"), F.lit(1).alias("hop")).where(F.col("utility") * damping >= least)
+    second = first.join(links, F.col("id") == F.col("src")).select("source", "start", "utility", F.col("dst").alias("id"), F.lit(2).alias("hop")).where((F.col("id") != F.col("start")) & (F.col("utility") * damping * damping >= least))
     near = first.unionByName(second).groupBy("source", "utility", "id").agg(F.min("hop").alias("hop"))
     boost = F.when(F.col("hop") == 1, F.col("utility") * damping).otherwise(F.col("utility") * damping * damping)
     return near.select("source", "id", "hop", boost.alias("boost"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(id, component)``: the least id of the connected component, direction ignored.
 
     Labels are exchanged with neighbours and then shortened through the label's own label, so rounds grow with the
-    logarithm of the diameter; each round is written to the shared folder.
+    logarithm of the diameter; each round is written to the shared folder. Labels only ever fall, so it ends, and it
+    ends only when nothing changes.
     """
     links = cut_lineage(both_ways(edges))
     labels = cut_lineage(nodes(edges).withColumn("component", F.col("id")))
-    for _ in range(most_rounds):
+    while True:
         offered = links.join(labels.select(F.col("id").alias("src"), "component"), "src").select(F.col("dst").alias("id"), "component")
         least = labels.unionByName(offered).groupBy("id").agg(F.min("component").alias("component"))
         hop = least.select(F.col("id").alias("component"), F.col("component").alias("further"))
@@ -180,17 +192,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count() == 0:
             return new
         labels = new
-    return labels
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
+def articulation_points(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``(id)`` of the nodes whose removal splits their component; direction ignored.
 
-    Each component is searched depth first, without recursion, so the edges of the largest component must fit one task:
-    the one operator here whose unit of work is a component.
+    Components of up to ``task_edges`` edges are searched depth first, each in one task, without recursion; larger ones
+    by :func:`spread_articulation_points`, which holds no component in a task. Both are exact.
     """
     comp = components(edges)
-    pairs = undirected(edges).join(comp.withColumnRenamed("id", "a"), "a").select("component", "a", "b")
+    pairs = cut_lineage(undirected(edges).join(comp.withColumnRenamed("id", "a"), "a").select("component", "a", "b"))
+    large = [r[0] for r in pairs.groupBy("component").count().where(F.col("count") > task_edges).select("component").collect()]
     kind = edges.schema["src"].dataType.simpleString()
 
     def search(pdf):
@@ -202,7 +214,62 @@ def articulation_points(edges: DataFrame) -> DataFrame:
             near.setdefault(b, []).append(a)
         return pd.DataFrame({"id": pd.Series(sorted(_cut_nodes(near)), dtype=object)})
 
-    return pairs.groupBy("component").applyInPandas(search, f"id {kind}").distinct()
+    found = pairs.where(~F.col("component").isin(large)).groupBy("component").applyInPandas(search, f"id {kind}")
+    if large:
+        found = found.unionByName(spread_articulation_points(pairs.where(F.col("component").isin(large)).select("a", "b")))
+    return found.distinct()
+
+
+def spread_articulation_points(pairs: DataFrame) -> DataFrame:
+    """Articulation points of undirected ``(a, b)`` pairs, by tables alone.
+
+    A breadth-first tree is grown from the least node of each component, a level a round. The tree edges on the cycle
+    that a further edge closes belong to one biconnected part: both its ends climb the tree till they meet, pairs that
+    coincide go on as one, and each step ties neighbouring tree edges (named by their lower node) together. The
+    components of these ties are the parts; a node whose tree edges lie in two of them is a cut node. Rounds are twice
+    the depth of the tree.
+    """
+    links = cut_lineage(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*"))
+    roots = components(links.select("src", "dst")).groupBy("component").agg(F.lit(1)).select(F.col("component").alias("id"))
+    level = cut_lineage(roots.select("id", F.lit(None).cast(links.schema["src"].dataType).alias("parent"), F.lit(0).alias("depth")))
+    tree = level
+    depth = 0
+    while True:
+        depth += 1
+        reached = links.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        level = cut_lineage(reached.join(tree.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if level.limit(1).count() == 0:
+            break
+        tree = cut_lineage(tree.unionByName(level))
+    up = tree.select("id", "parent", "depth")
+    a, b = (up.select(F.col("id").alias(c), F.col("parent").alias(f"p{c}"), F.col("depth").alias(f"d{c}")) for c in "ab")
+    walk = cut_lineage(pairs.join(a, "a").join(b, "b").where("not (pa <=> b) and not (pb <=> a)").select("a", "b"))
+    ties = None
+    while walk.limit(1).count():
+        # The deeper end climbs; of equal ends both do. An end that arrives at the other has met it.
+        at = walk.join(a, "a").join(b, "b")
+        na, nb = F.when(F.col("da") >= F.col("db"), F.col("pa")).otherwise(F.col("a")), F.when(F.col("db") >= F.col("da"), F.col("pb")).otherwise(F.col("b"))
+        step = cut_lineage(at.select("a", "b", na.alias("na"), nb.alias("nb")))
+        met = F.col("na") == F.col("nb")
+        tied = F.filter(
+            F.array(
+                F.when(met & (F.col("a") != F.col("na")) & (F.col("b") != F.col("nb")), F.struct(F.col("a").alias("src"), F.col("b").alias("dst"))),
+                F.when(~met & (F.col("na") != F.col("a")), F.struct(F.col("a").alias("src"), F.col("na").alias("dst"))),
+                F.when(~met & (F.col("nb") != F.col("b")), F.struct(F.col("b").alias("src"), F.col("nb").alias("dst"))),
+            ),
+            lambda x: x.isNotNull(),
+        )
+        one = step.select(F.explode(tied).alias("t")).select("t.*").distinct()
+        ties = cut_lineage(one if ties is None else ties.unionByName(one).distinct())
+        walk = cut_lineage(step.where(~met).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
+    below = tree.where("parent is not null").select(F.col("id").alias("edge"), "parent")
+    if ties is not None:
+        part = components(ties).withColumnRenamed("id", "edge")
+        below = below.join(part, "edge", "left").select("edge", "parent", F.coalesce("component", "edge").alias("part"))
+    else:
+        below = below.withColumn("part", F.col("edge"))
+    ends = below.select(F.explode(F.array("edge", "parent")).alias("id"), "part")
+    return ends.groupBy("id").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("id")
 
 
 def _cut_nodes(near: dict) -> set:
@@ -243,52 +310,66 @@ def _cut_nodes(near: dict) -> set:
 def betweenness(edges: DataFrame, normalised: bool = True) -> DataFrame:
     """``(id, betweenness)``: shares of shortest paths through a node, directed, unweighted, self loops ignored.
 
-    Brandes' accumulation, one source at a time, sources spread over the tasks; each task keeps one number per node and
-    sums are combined before the shuffle. The adjacency is broadcast after its size is checked; above
-    ``BROADCAST_EDGES`` edges the call is refused, since exact betweenness costs nodes x edges.
+    Brandes' accumulation, sources spread over the tasks, whole levels at a time in NumPy; each task keeps one number per
+    node and sums are combined before the shuffle. Nodes are numbered, and the adjacency is broadcast as two integer
+    arrays after its size is checked: 4 bytes an edge and 8 a node, at most 120 MB. Above ``BROADCAST_EDGES`` edges or
+    nodes the call is refused, since exact betweenness costs nodes x edges.
     """
-    ids = cut_lineage(nodes(edges))
+    import numpy as np
+
+    ids = cut_lineage(spread_row_number(nodes(edges).withColumn("_all", F.lit(0)), "_all", F.col("id"), "_place").select("id", (F.col("_place") - 1).cast("int").alias("place")))
     links = edges.where("src <> dst").distinct()
-    if links.count() > BROADCAST_EDGES:
-        raise ValueError("too many edges for exact betweenness")
-    out: dict = {}
-    for row in links.toLocalIterator():
-        out.setdefault(row["src"], []).append(row["dst"])
-    shared = edges.sparkSession.sparkContext.broadcast(out)
     n = ids.count()
+    if links.count() > BROADCAST_EDGES or n > BROADCAST_EDGES:
+        raise ValueError("too many edges for exact betweenness")
+    named = links.join(ids.select(F.col("id").alias("src"), F.col("place").alias("s")), "src").join(ids.select(F.col("id").alias("dst"), F.col("place").alias("d")), "dst")
+    table = named.select("s", "d").toArrow()
+    s, d = (table.column(c).to_numpy().astype("i4") for c in (0, 1))
+    order = np.argsort(s, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n))]).astype("i8")
+    shared = edges.sparkSession.sparkContext.broadcast((first, d[order]))
     scale = 1.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 1.0
-    kind = edges.schema["src"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        total: dict = {}
+        first, out = shared.value
+        total = np.zeros(len(first) - 1)
         for pdf in batches:
-            for source in pdf["id"]:
-                _accumulate(source, shared.value, total)
-        yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype="f8")})
-
-    parts = ids.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"id {kind}, part double")
-    sums = parts.groupBy("id").agg(F.sum("part").alias("s"))
-    return ids.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-def _accumulate(source, out: dict, total: dict) -> None:
-    paths, depth, order, before = {source: 1.0}, {source: 0}, [source], {}
-    for node in order:
-        for other in out.get(node, ()):
-            if other not in depth:
-                depth[other] = depth[node] + 1
-                order.append(other)
-            if depth[other] == depth[node] + 1:
-                paths[other] = paths.get(other, 0.0) + paths[node]
-                before.setdefault(other, []).append(node)
-    share = dict.fromkeys(order, 0.0)
-    for node in reversed(order):
-        for prior in before.get(node, ()):
-            share[prior] += paths[prior] / paths[node] * (1.0 + share[node])
-        if node != source:
-            total[node] = total.get(node, 0.0) + share[node]
+            for source in pdf["place"]:
+                _accumulate(int(source), first, out, total)
+        through = np.nonzero(total)[0]
+        yield pd.DataFrame({"place": through.astype("i4"), "part": total[through]})
+
+    parts = ids.select("place").repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "place int, part double")
+    sums = parts.groupBy("place").agg(F.sum("part").alias("s"))
+    return ids.join(sums, "place", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _accumulate(source: int, first, out, total) -> None:
+    """Adds the dependencies of one source on all nodes to ``total``: levels forward, then backward."""
+    import numpy as np
+
+    depth = np.full(len(first) - 1, -1, "i4")
+    paths = np.zeros(len(first) - 1)
+    depth[source], paths[source] = 0, 1.0
+    level, steps = np.array([source]), []
+    while len(level):
+        size = first[level + 1] - first[level]
+        tail = np.repeat(level, size)
+        head = out[np.repeat(first[level] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+        new = np.unique(head[depth[head] < 0])
+        depth[new] = depth[source] + len(steps) + 1
+        along = depth[head] == len(steps) + 1
+        tail, head = tail[along], head[along]
+        np.add.at(paths, head, paths[tail])
+        steps.append((tail, head))
+        level = new
+    share = np.zeros(len(paths))
+    for tail, head in reversed(steps):
+        np.add.at(share, tail, paths[tail] / paths[head] * (1.0 + share[head]))
+    share[source] = 0.0
+    total += share
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:

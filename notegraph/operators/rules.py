@@ -126,22 +126,31 @@ def validate(notes: DataFrame, key: str, required: list[str], enums: dict[str, l
     return notes.select(key, (F.size(said[0]) == 0).alias("valid"), said[0].alias("errors"), said[1].alias("warnings"))
 
 
+#: Characters of the pieces through which titles and queries meet, for titles that are at least so long.
+GRAMS = (8, 3)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters of a text, in any script."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def entities(queries: DataFrame, key: str, text: str, titles: DataFrame) -> DataFrame:
     """``(key, title)``: titles of three characters or more that a query contains, letter case aside, no word borders.
 
-    A title can only be contained where its longest token is part of some token of the query. Titles are met through
-    3-grams of that token: an equi-join on one 3-gram a title, then the exact test. Titles without any run of three
-    letters or digits are few and tested against all queries in blocks (a broadcast of what is checked to be small).
+    A query that contains a title contains every run of characters of it. A title stands under one of its runs of eight
+    (of three, if it is shorter), that of the least hash, so that common beginnings do not bring all titles together;
+    queries meet it there by an equi-join, then the exact test follows. Scripts make no difference.
     """
     low = titles.where(F.length("title") >= 3).select("title", F.lower("title").alias("_t")).distinct()
-    runs = F.filter(F.split("_t", "[^a-z0-9]+"), lambda r: F.length(r) >= 3)
-    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), 1)["r"]
-    low = low.withColumn("_gram", F.when(F.size(runs) > 0, F.substring(longest, 1, 3)))
+    gram = F.lit(None).cast("string")
+    for n in reversed(GRAMS):
+        least = F.array_min(F.transform(_grams(F.col("_t"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+        gram = F.when(F.length("_t") >= n, least).otherwise(gram)
+    low = low.withColumn("_gram", gram).where("_gram is not null")
     q = queries.where(F.length(text) >= 3).select(key, F.lower(text).alias("_q"))
-    grams = F.array_distinct(F.flatten(F.transform(F.filter(F.split("_q", "[^a-z0-9]+"), lambda r: F.length(r) >= 3), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 2), lambda i: r.substr(i, F.lit(3))))))
-    met = q.select(key, "_q", F.explode(grams).alias("_gram")).join(low.where("_gram is not null"), "_gram")
-    odd = low.where("_gram is null")
-    return met.where(F.col("_q").contains(F.col("_t"))).select(key, "title").unionByName(q.join(odd, F.col("_q").contains(F.col("_t"))).select(key, "title")).distinct()
+    met = q.select(key, "_q", F.explode(F.array_distinct(F.concat(*[_grams(F.col("_q"), n) for n in GRAMS]))).alias("_gram")).join(low, "_gram")
+    return met.where(F.col("_q").contains(F.col("_t"))).select(key, "title").distinct()
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["tokens"]

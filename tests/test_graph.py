@@ -59,6 +59,13 @@ def test_articulation_points_against_removal(spark, seed):
     assert {r.id for r in g.articulation_points(edges(spark, rows)).collect()} == brute_cut_nodes(rows)
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_spread_articulation_points_against_removal(spark, seed):
+    rnd = random.Random(seed)
+    rows = list({(f"n{rnd.randrange(24)}", f"n{rnd.randrange(24)}") for _ in range(26)})
+    assert {r.id for r in g.articulation_points(edges(spark, rows), task_edges=0).collect()} == brute_cut_nodes(rows)
+
+
 def test_components_do_not_depend_on_partitions(spark):
     rows = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("x", "y"), ("z", "z")]
     wanted = {f"n{i}": min(f"n{j}" for j in range(41)) for i in range(41)} | {"x": "x", "y": "x", "z": "z"}
@@ -119,6 +126,6 @@ def test_activation_stops_at_two_hops_and_under_the_least_boost(spark):
 
 def test_empty_graph(spark):
     e = edges(spark, [])
-    for f in (g.nodes, g.pagerank, g.components, g.articulation_points, g.betweenness, g.communities, g.hubs):
+    for f in (lambda e: g.spread_articulation_points(g.undirected(e)), g.nodes, g.pagerank, g.components, g.articulation_points, g.betweenness, g.communities, g.hubs):
         assert f(e).count() == 0
     assert g.upper_median(g.in_degrees(e), "in_degree").first()[0] == 0
