@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from notegraph.operators.skew import hot_keys
+
 #: Weights of the signals and the constant of reciprocal ranks.
 SIGNAL_WEIGHTS = {"composite": 2.0, "keyword": 1.0, "graph": 1.5}
 RRF_K = 60
@@ -41,7 +43,7 @@ def explore(ranked: DataFrame, titles: DataFrame, budget: float = 0.1, seed: str
     sizes = ranked.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     sizes = sizes.withColumn("gives", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(budget)).cast("int")))
     total = titles.count()
-    ring = titles.select(F.col("title").alias("pick")).withColumn("place", F.row_number().over(W.orderBy(F.md5(F.concat(F.col("pick"), F.lit(seed))), "pick")) - 1)
+    ring = _ring(titles, seed)
     start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("query_id").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("bigint"), F.lit(max(total, 1)))
     tries = sizes.withColumn("start", start).select("query_id", "gives", F.explode(F.sequence(F.lit(0), F.least(F.col("n") + F.col("gives"), F.lit(max(total, 1))) - 1)).alias("step"), "start")
     tries = tries.withColumn("place", (F.col("start") + F.col("step")) % F.lit(max(total, 1)))
@@ -54,6 +56,16 @@ def explore(ranked: DataFrame, titles: DataFrame, budget: float = 0.1, seed: str
     return stay.unionByName(new)
 
 
+def _ring(titles: DataFrame, seed: str) -> DataFrame:
+    """``(pick, place)``: titles in the order of their MD5, numbered from 0. They are numbered within the first three hex
+    digits, then lifted by the counts of those before: at most 4,096 counts are ordered in one task."""
+    hashed = titles.select(F.col("title").alias("pick"), F.md5(F.concat("title", F.lit(seed))).alias("_hash")).withColumn("_part", F.substring("_hash", 1, 3))
+    lift = hashed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    lift = lift.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_lift"))
+    local = hashed.withColumn("_local", F.row_number().over(W.partitionBy("_part").orderBy("_hash", "pick")))
+    return local.join(F.broadcast(lift), "_part").select("pick", (F.col("_lift") + F.col("_local") - 1).alias("place"))
+
+
 def propensity(log: DataFrame, titles: DataFrame, epsilon: float = 0.01, distinct: bool = False) -> DataFrame:
     """``(title, propensity)`` of every title from a log of ``(event, title)`` rows.
 
@@ -72,16 +84,32 @@ def combine_boosts(boosts: DataFrame) -> DataFrame:
     return boosts.groupBy("title").agg(F.sum("boost").alias("boost"))
 
 
-def fold_boosts(events: DataFrame, key: str, at: str, boost: str, tie: str, rate: float = 0.1) -> DataFrame:
+def fold_boosts(events: DataFrame, key: str, at: str, boost: str, rate: float = 0.1, hot: list | None = None) -> DataFrame:
     """``(key, boost, updated)``: ``min(1, old x exp(-rate x days) + new)`` over a key's events in order of time.
 
-    The clamp makes the fold depend on order, so a key's events are sorted (by ``at``, then ``tie``) and folded in the
-    JVM. Before that, each run of events between two days is untouched; the array of a key is its own history, which
-    is bounded by how often one note is boosted. Null times and boosts are dropped.
+    Events of one key and time are one, with the sum of their boosts. The fold depends on order, but its steps
+    ``x -> min(c, a x + b)`` are closed under composition: the events of a key in ``hot`` (found by
+    :func:`notegraph.operators.skew.hot_keys` when not given) are composed within each minute, then within each day,
+    then over all days, so no task holds more of it than that; ordinary keys are composed at once. Null keys, times and
+    boosts and negative boosts are dropped.
     """
-    rows = events.where(F.col(at).isNotNull() & F.col(boost).isNotNull() & F.col(key).isNotNull())
-    step = F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(tie).alias("k"), F.col(boost).cast("double").alias("b"))
-    history = rows.groupBy(key).agg(F.sort_array(F.collect_list(step)).alias("h"))
-    start = F.struct(F.lit(0.0).alias("v"), F.element_at("h", 1)["t"].alias("t"))
-    folded = F.aggregate("h", start, lambda a, x: F.struct(F.least(F.lit(1.0), a["v"] * F.exp(F.lit(-rate) * F.abs(x["t"] - a["t"]) / F.lit(86_400e6)) + x["b"]).alias("v"), x["t"].alias("t")))
-    return history.select(key, folded.alias("f")).select(key, F.col("f.v").alias("boost"), F.timestamp_micros("f.t").alias("updated"))
+    rows = events.where(F.col(at).isNotNull() & (F.col(boost) >= 0) & F.col(key).isNotNull())
+    rows = rows.select(F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(boost).cast("double").alias("b"))
+    hot = hot_keys(rows, "k") if hot is None else hot
+    rows = rows.groupBy("k", "t").agg(F.sum("b").alias("b"))
+    step = F.struct(F.col("t").alias("from"), F.col("t").alias("to"), F.lit(1.0).alias("a"), F.col("b"), F.lit(1.0).alias("c"))
+    steps = rows.select("k", step.alias("s"))
+
+    def after(f, g):
+        kept = F.exp(F.lit(-rate) * (g["from"] - f["to"]) / F.lit(86_400e6)) * g["a"]
+        return F.struct(f["from"].alias("from"), g["to"].alias("to"), (kept * f["a"]).alias("a"), (kept * f["b"] + g["b"]).alias("b"), F.least(g["c"], kept * f["c"] + g["b"]).alias("c"))
+
+    def composed(df: DataFrame, width: int | None) -> DataFrame:
+        by = ["k"] if width is None else ["k", F.floor(F.col("s.from") / width).alias("_slice")]
+        lists = df.groupBy(*by).agg(F.sort_array(F.collect_list("s")).alias("h"))
+        return lists.select("k", F.aggregate(F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), F.element_at("h", 1), after).alias("s"))
+
+    if hot:
+        long = composed(composed(steps.where(F.col("k").isin(hot)), 60_000_000), 86_400_000_000)
+        steps = steps.where(~F.col("k").isin(hot)).unionByName(long)
+    return composed(steps, None).select(F.col("k").alias(key), F.least("s.c", "s.b").alias("boost"), F.timestamp_micros("s.to").alias("updated"))

