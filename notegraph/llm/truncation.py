@@ -9,15 +9,17 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from notegraph.operators.skew import hot_keys, salted_join
 from notegraph.session import cut_lineage
 
-#: Intact texts, at most, from which training rows are made; the only bound here, everything else covers all rows.
+#: Intact texts from which training rows are made, and texts without a mark shown beside them, drawn by hash at the rate
+#: that gives so many: the only bound here, everything else covers all rows.
 TRAINING_TEXTS = 40_000
 #: Share of cut values expected among those without closing punctuation.
 PRIOR = 0.2
-#: A last word that begins a word so many times as frequent is torn, whatever the model says.
+#: A last word that begins a word so many times as frequent is torn.
 TORN = 30.0
 #: Share of artificial cuts that are made to stand at the source's limit.
 AT_LIMIT = 0.6
@@ -27,6 +29,10 @@ DIMENSIONS = 1 << 18
 RECURRENT_SHARE = 0.003
 #: A text is reported as cut from this probability on.
 THRESHOLD = 0.5
+#: Sources with a limit up to which these are broadcast.
+BROADCAST_SOURCES = 100_000
+#: Characters of a word's beginnings that are listed; longer words meet by so many first ones.
+BEGINNING = 48
 
 # English function words, which keep their own identity in a sentence's skeleton.
 FUNCTION_WORDS = (
@@ -64,7 +70,8 @@ def features(text: str, length: int, limit: int | None, share: float | None, lon
     open, how frequent the last word is in the corpus, and how the length stands to the source's limit.
 
     ``text`` is bare and without its final full stop; ``length`` is that of the value as stored; ``share`` is the last
-    word's share of all words of the corpus, ``longer`` that of the most frequent word it begins. All of a text counts for open brackets, its last clause for the rest.
+    word's share of all words of the corpus, ``longer`` that of the most frequent word it begins. All of a text counts
+    for open brackets, its last clause for the rest.
     """
     low = text.lower()
     words = ["^"] * 3 + _WORD.findall(low[-200:])
@@ -87,33 +94,86 @@ def whole_skeleton(text: str | None) -> str | None:
     """The skeleton of a text that is one clause of four words or more and ends in a letter, with no function word last,
     after which a sentence goes on; None for others."""
     text = (text or "").strip()
-    if not text[-1:].isalpha() or len(text) > 120 or _CLAUSE.search(text):
+    if not text[-1:].isalpha() or _CLAUSE.search(text):
         return None
     words = _WORD.findall(text.lower())
     return " ".join(map(_shape, words)) if len(words) >= 4 and words[-1] not in _KNOWN else None
 
 
-def recurrent(rows: DataFrame, share: float = RECURRENT_SHARE, least: int = 10) -> DataFrame:
-    """The texts without final punctuation, as ``_text``, whose skeleton ``share`` of all distinct texts have: complete
-    phrases such as titles. A cut falls anywhere, so what it leaves does not recur. Copies of a text count once, and a
-    text that stands at its source's limit is not taken, as it may be cut there."""
-    texts = rows.groupBy("_text").agg(F.max(F.coalesce(F.length("_text") == F.col("_limit"), F.lit(False))).alias("_at"))
+def described(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """One row per key with a non-blank text (the greatest of a repeated key): ``_key, _source`` (lower-cased), ``_text,
+    _length, _t`` (bare, without its final stop), ``_closed, _marked, _last`` (the last word), ``_form`` (the skeleton of a
+    text that may be a complete phrase). Written once; all that is counted, learnt and judged starts here."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.lower(F.trim(source)).alias("_source"), F.col(text).cast("string").alias("_text"))
+    rows = rows.groupBy("_key").agg(F.max(F.struct("_text", "_source")).alias("r")).select("_key", "r._source", "r._text")
+    rows = rows.where(F.length(F.regexp_replace("_text", r"[\s\u00a0\u200b\ufeff]+", "")) > 0).withColumn("_bare", bare(F.col("_text")))
+    tail = F.expr("substring(_text, length(_bare) + 1)")
+    rows = rows.withColumns({"_length": F.length("_text"), "_marked": F.length(F.regexp_replace(tail, r"[\s\u00a0]+", "")) > 0, "_t": F.regexp_replace("_bare", r"[.!?。！？]+$", "")})
+    rows = rows.withColumns({"_closed": ~F.col("_marked") & F.col("_bare").rlike(_CLOSED), "_last": _last_word("_t")}).drop("_bare")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([whole_skeleton(t) for t in batch.column(0).to_pylist()], pa.string())], ["_text", "_form"])
+            forms = pa.array([whole_skeleton(t) for t in batch.column(batch.schema.names.index("_text")).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, forms], [*batch.schema.names, "_form"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return cut_lineage(rows.mapInArrow(run, f"{schema}, _form string"))
+
+
+def _last_word(text: str) -> Column:
+    return F.regexp_extract(F.lower(text), r"([\p{L}\p{M}\p{N}_'’-]+)[^\p{L}\p{M}\p{N}_'’-]*$", 1)
+
+
+def limits(rows: DataFrame, least: int = 8, excess: float = 4.0) -> DataFrame:
+    """``(_source, _limit)``: the length at which a source's distinct texts pile up, over all of them.
+
+    The longest length that at least ``least`` texts have and that is ``excess`` times as frequent as the mean of the
+    lengths from 10 below to 10 above. A source without such a length has no row. Texts are told apart by their hash;
+    counts are one row per source and length, so no group is large.
+    """
+    texts = rows.select("_source", F.length("_text").alias("_l"), F.xxhash64("_text").alias("_h")).distinct()
+    counts = texts.groupBy("_source", "_l").agg(F.count(F.lit(1)).alias("_n"))
+    near = W.partitionBy("_source").orderBy("_l").rangeBetween(-10, 10)
+    around = counts.withColumn("_mean", (F.sum("_n").over(near) - F.col("_n")) / 20.0)
+    return around.where((F.col("_n") >= least) & (F.col("_n") >= excess * F.greatest("_mean", F.lit(0.5)))).groupBy("_source").agg(F.max("_l").alias("_limit"))
+
+
+def _with_limit(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Joins the limits of the sources: broadcast after their number is checked, else salted for hot sources."""
+    found = cut_lineage(found)
+    named = F.coalesce("_source", F.lit("\x00"))
+    rows, found = rows.withColumn("_of", named), found.select(named.alias("_of"), "_limit")
+    if found.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(found), "_of", "left").drop("_of")
+    return salted_join(rows, found, "_of", hot_keys(rows, "_of"), F.col("_key"), "left").drop("_of")
 
-    forms = texts.where("not _at").select("_text").mapInArrow(run, "_text string, _form string")
-    counts = forms.where("_form is not null").groupBy("_form").agg(F.count(F.lit(1)).alias("_n"))
-    common = [r[0] for r in counts.where(F.col("_n") >= max(least, share * texts.count())).orderBy(F.desc("_n")).limit(int(1 / share)).collect()]
-    return forms.where(F.col("_form").isin(common)).select("_text") if common else forms.where("false").select("_text")
+
+def word_shares(texts: DataFrame) -> DataFrame:
+    """``(_last, _share, _longer)`` of every word and every beginning of a word, over all distinct texts: its share of all
+    words (that of a single occurrence if it never stands alone) and the share of the most frequent word it begins.
+
+    Beginnings are listed up to ``BEGINNING`` characters; words longer than that meet the words they begin by their first
+    so many.
+    """
+    words = texts.select(F.explode(F.split(F.lower("_text"), r"[^\p{L}\p{M}\p{N}_'’-]+")).alias("_last")).where(F.length("_last") > 0)
+    counts = cut_lineage(words.groupBy("_last").agg(F.count(F.lit(1)).alias("_n")))
+    total = float(counts.agg(F.sum("_n")).first()[0] or 1)
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.length("_last") - 1, F.lit(BEGINNING))), lambda i: F.substring("_last", F.lit(1), i))
+    none = F.lit(None).cast("bigint")
+    starts = counts.where(F.length("_last") > 1).select(F.explode(begins).alias("_last"), F.lit(1).cast("bigint").alias("_n"), F.col("_n").alias("_m"))
+    long = counts.where(F.length("_last") > BEGINNING).withColumn("_head", F.substring("_last", 1, BEGINNING))
+    further = long.select("_head", F.col("_last").alias("_w"), F.col("_n").alias("_m"))
+    far = long.join(further, "_head").where((F.length("_w") > F.length("_last")) & F.col("_w").startswith(F.col("_last"))).select("_last", "_n", "_m")
+    most = counts.select("_last", "_n", none.alias("_m")).unionByName(starts).unionByName(far).groupBy("_last").agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"))
+    return cut_lineage(most.select("_last", (F.col("_n") / total).alias("_share"), (F.col("_m") / total).alias("_longer")))
 
 
 def _featured(rows: DataFrame, carry: list[str]) -> DataFrame:
     """Adds ``words``, the hashed features, that on the source's limit last, to rows with ``_t``, ``_length``, ``_limit``,
-    ``_share`` and ``_longer``. In Arrow batches: interpreted higher-order functions over the same splits took ten times as long."""
+    ``_share`` and ``_longer``. In Arrow batches: interpreted higher-order functions over the same splits took ten times as
+    long."""
     kept = [f for f in rows.schema.fields if f.name in carry]
 
     def run(batches):
@@ -129,111 +189,80 @@ def _featured(rows: DataFrame, carry: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, words array<int>")
 
 
-def word_shares(rows: DataFrame) -> DataFrame:
-    """``(_last, _share, _longer)`` of every word and every beginning of a word, over all texts: its share of all words
-    (that of a single occurrence if it never stands alone) and the share of the most frequent word it begins."""
-    words = rows.select(F.explode(F.split(F.lower("_text"), r"[^\p{L}\p{M}\p{N}_'’-]+")).alias("_last")).where(F.length("_last") > 0)
-    counts = words.groupBy("_last").agg(F.count(F.lit(1)).alias("_n"))
-    total = float(counts.agg(F.sum("_n")).first()[0] or 1)
-    begins = F.transform(F.sequence(F.lit(1), F.least(F.length("_last") - 1, F.lit(24))), lambda i: F.substring("_last", F.lit(1), i))
-    starts = counts.where(F.length("_last") > 1).select(F.explode(begins).alias("_last"), F.lit(1).cast("bigint").alias("_n"), F.col("_n").alias("_m"))
-    both = counts.select("_last", "_n", F.lit(None).cast("bigint").alias("_m")).unionByName(starts)
-    most = both.groupBy("_last").agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"))
-    return most.select("_last", (F.col("_n") / total).alias("_share"), (F.col("_m") / total).alias("_longer"))
-
-
-def _with_share(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    """Joins the shares of the last word of ``_t``; hot last words are salted."""
-    last = F.regexp_extract(F.lower("_t"), r"([\p{L}\p{M}\p{N}_'’-]+)[^\p{L}\p{M}\p{N}_'’-]*$", 1)
-    rows = rows.withColumn("_last", last)
-    return salted_join(rows, shares, "_last", hot_keys(rows, "_last"), F.col("_t"), "left")
-
+def _drawn(df: DataFrame, by: Column, n: int, bound: int) -> DataFrame:
+    """Of ``n`` rows, those whose hash falls below the rate that gives about ``bound``: no sort, no last task."""
+    rate = int(1_000_000 * min(1.0, bound / max(1, n)))
+    return df if rate >= 1_000_000 else df.where(F.pmod(F.xxhash64(by, F.lit("drawn")), F.lit(1_000_000)) < rate)
 
-def _prepared(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """One row per key with a non-blank text; ``_source`` lower-cased; the greatest text of a repeated key."""
-    rows = df.select(F.col(key).alias("_key"), F.lower(F.trim(source)).alias("_source"), F.col(text).cast("string").alias("_text"))
-    rows = rows.where(F.col("_key").isNotNull())
-    return rows.groupBy("_key").agg(F.max(F.struct("_text", "_source")).alias("r")).select("_key", "r._source", "r._text")
 
-
-def limits(rows: DataFrame, least: int = 8, excess: float = 4.0) -> DataFrame:
-    """``(_source, _limit)``: the length at which a source's texts pile up, over all of them.
-
-    The longest length that at least ``least`` texts have and that is ``excess`` times as frequent as the mean of the
-    lengths from 10 below to 10 above. A source without such a length has no row. Counts are one row per source and
-    length, so no group is large.
-    """
-    counts = rows.where("length(trim(_text)) > 0").groupBy("_source", F.length("_text").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    near = counts.select("_source", F.col("_l").alias("_m"), F.col("_n").alias("_k"))
-    around = counts.join(near, (counts["_source"].eqNullSafe(near["_source"])) & (F.col("_m").between(F.col("_l") - 10, F.col("_l") + 10)) & (F.col("_m") != F.col("_l")), "left").drop(near["_source"])
-    mean = around.groupBy("_source", "_l", "_n").agg((F.coalesce(F.sum("_k"), F.lit(0)) / 20.0).alias("_mean"))
-    return mean.where((F.col("_n") >= least) & (F.col("_n") >= excess * F.greatest("_mean", F.lit(0.5)))).groupBy("_source").agg(F.max("_l").alias("_limit"))
-
-
-def _odds(key: str, text: str, share: float, *more: str) -> Column:
+def _odds(share: float, *by: str) -> Column:
     """The limit of a training row: its own length for ``share`` of them, so that they stand at their limit."""
-    return F.when(F.pmod(F.xxhash64(key, *more, F.lit("limit")), F.lit(1000)) < int(share * 1000), F.length(text)).otherwise(F.col("_limit"))
+    return F.when(F.pmod(F.xxhash64(*by, F.lit("limit")), F.lit(1000)) < int(share * 1000), F.col("_length")).otherwise(F.col("_limit"))
 
 
-def training_rows(rows: DataFrame, bound: int = TRAINING_TEXTS) -> DataFrame:
+def training_rows(texts: DataFrame, bound: int = TRAINING_TEXTS, share: float = RECURRENT_SHARE, least: int = 10) -> DataFrame:
     """Labelled rows from intact texts: of several words, ending in closing punctuation or in a recurrent form.
 
-    Each gives itself without its final mark as a negative, and three positives: cut at a place drawn from the hash of
-    the key, inside a word or between words. At most ``bound`` texts are taken, by the order of that hash.
+    ``texts`` has a row per distinct text. A form is recurrent when ``share`` of all texts have it: complete phrases such
+    as titles. A cut falls anywhere, so what it leaves does not recur; a text at its source's limit is not taken for one,
+    as it may be cut there. Each intact text gives itself without its final mark as a negative and three positives: cut at
+    a place drawn from the hash of the text, inside a word or between words. About ``bound`` texts are drawn by hash.
     """
-    rows = rows.join(recurrent(rows).withColumn("_recurs", F.lit(True)), "_text", "left")
-    ended = F.col("_text").rlike(_CLOSED) & ~F.col("_text").rlike(r"(?:\.\.|…)$")
-    intact = rows.where((ended | F.col("_recurs")) & (F.size(F.split(F.trim("_text"), r"\s+")) >= 4))
-    intact = intact.groupBy("_text").agg(F.min(F.struct("_key", "_limit")).alias("r")).select("r._key", "r._limit", "_text")
-    intact = intact.orderBy(F.xxhash64("_key"), "_key").limit(bound)
-    whole = F.regexp_replace(F.trim("_text"), r"[.!?。！？]+$", "")
-    base = intact.select("_key", "_limit", whole.alias("_t"))
-    negative = base.select("_t", F.lit(0.0).alias("label"), _odds("_key", "_t", AT_LIMIT / 4).alias("_limit"))
-    drawn = base.select("_t", "_limit", "_key", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_i"))
-    at = F.lit(6) + F.pmod(F.xxhash64("_key", "_i"), F.greatest(F.length("_t") - 7, F.lit(1)))
-    piece = drawn.select("_key", "_i", "_limit", "_t", F.rtrim(F.substring("_t", F.lit(1), at.cast("int"))).alias("_p"))
+    phrases = F.col("_form").isNotNull() & ~F.coalesce(F.col("_length") == F.col("_limit"), F.lit(False))
+    counts = texts.where(phrases).groupBy("_form").agg(F.count(F.lit(1)).alias("_n"))
+    common = [r[0] for r in counts.where(F.col("_n") >= max(least, share * texts.count())).orderBy(F.desc("_n")).limit(int(1 / share)).collect()]
+    recurs = phrases & F.col("_form").isin(common) if common else F.lit(False)
+    intact = texts.where((F.col("_closed") | recurs) & (F.size(F.split(F.trim("_text"), r"\s+")) >= 4))
+    base = _drawn(intact, F.col("_text"), intact.count(), bound).select("_text", "_limit", F.regexp_replace(F.trim("_text"), r"[.!?。！？]+$", "").alias("_t"))
+    sized = base.withColumn("_length", F.length("_t"))
+    negative = sized.select("_t", F.lit(0.0).alias("label"), "_length", _odds(AT_LIMIT / 4, "_text").alias("_limit"))
+    drawn = base.select("_t", "_limit", "_text", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_i"))
+    at = F.lit(6) + F.pmod(F.xxhash64("_text", "_i"), F.greatest(F.length("_t") - 7, F.lit(1)))
+    piece = drawn.select("_text", "_i", "_limit", "_t", F.rtrim(F.substring("_t", F.lit(1), at.cast("int"))).alias("_p"))
     between = F.regexp_replace("_p", r"[^\p{L}\p{N}]*[\p{L}\p{N}'’-]+$", "")
     piece = piece.withColumn("_p", F.when((F.col("_i") == 2) & (F.length(between) > 5), between).otherwise(F.col("_p")))
     # A cut after which nothing is missing, or only a phrase that may be left out, is no clear positive.
     rest = F.expr("substring(_t, length(_p) + 1)")
     closed = rest.rlike(r"^[^\p{L}\p{N})\]\"”`’]*$") | rest.rlike(r"^\s*[,;(–-]") | (rest.rlike(r"^\s*(?:for|as with|and|because|until|while|where|which|so that|although|even though|whenever|but|or|with|without|since|during|before|after|near|over|unlike)\b"))
-    positive = piece.where(~closed & (F.length("_p") > 3)).select(F.col("_p").alias("_t"), F.lit(1.0).alias("label"), _odds("_key", "_p", AT_LIMIT, "_i").alias("_limit"))
-    return negative.unionByName(positive)
+    piece = piece.where(~closed & (F.length("_p") > 3)).withColumn("_length", F.length("_p"))
+    positive = piece.select(F.col("_p").alias("_t"), F.lit(1.0).alias("label"), "_length", _odds(AT_LIMIT, "_text", "_i").alias("_limit"))
+    return negative.unionByName(positive).withColumn("_last", _last_word("_t"))
 
 
 def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int = TRAINING_TEXTS, prior: float = PRIOR) -> DataFrame:
     """``(key, source, p_cut, is_cut)`` for every distinct key with a non-blank text.
 
-    ``source`` is lower-cased (null stays null). Null, empty and blank texts are no cases and have no row. A text that
-    ends in closing punctuation is complete unless a mark of omission stands there. With no intact text to learn from,
-    only marks of omission and damaged ends count.
+    ``source`` is lower-cased (null stays null). Null, empty and blank texts are no cases and have no row. With no intact
+    text to learn from, only marks of omission and damaged ends count.
+
+    The model judges every text. Three exact checks follow: a text that ends in closing punctuation is complete; one
+    after which a mark of omission or damage stands is cut, and so is one whose last word is torn off a word ``TORN``
+    times as frequent.
 
     Two models are added up. One sets artificial cuts against intact values. The other sets them against the values as
     they are that end without a mark, most of which are complete: these teach it the forms complete values end in where
     no mark shows it, and what standing at the source's limit means. So that it judges no value it was shown, it is
     trained twice, on either half of these by text, and scores the other half. Copies of a text count once in all that is
-    counted or learnt. ``prior`` is the share of cut ones among such
-    values at which the threshold is set. One exact check follows: a last word torn off a far more frequent one is cut.
+    counted or learnt. ``prior`` is the share of cut ones among such values at which the threshold is set.
     """
-    rows = _prepared(df, key, text, source)
-    found = limits(rows.select("_source", "_text").distinct()).withColumnRenamed("_source", "_of")
-    rows = rows.join(found, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
-    live = rows.where(F.length(F.regexp_replace("_text", r"[\s ​﻿]+", "")) > 0)
-    stripped = bare(F.col("_text"))
-    marked = F.length(stripped) < F.length(F.regexp_replace("_text", r"[\s ]+$", ""))
-    closed = ~marked & stripped.rlike(_CLOSED)
-    final = F.regexp_replace(stripped, r"[.!?。！？]+$", "")
-    shares = cut_lineage(word_shares(live.select("_text").distinct()))
-    given = live.select("_key", "_source", marked.alias("_marked"), closed.alias("_closed"), final.alias("_t"), F.length("_text").alias("_length"), "_limit")
-    given = given.withColumn("_fold", F.pmod(F.xxhash64("_t"), F.lit(2)).cast("int"))
+    live = described(df, key, text, source)
+    live = _with_limit(live, limits(live))
+    # A text that several sources have is taken once, where it stands at a limit if it does so anywhere.
+    at = F.coalesce(F.col("_length") == F.col("_limit"), F.lit(False))
+    one = F.max(F.struct(at.alias("at"), "_limit", "_length", "_closed", "_form")).alias("r")
+    texts = cut_lineage(live.groupBy("_text").agg(one).select("_text", "r._limit", "r._length", "r._closed", "r._form"))
+    shares = word_shares(texts.select("_text"))
+    hot = hot_keys(live, "_last")
+    given = live.select("_key", "_source", "_closed", "_marked", "_t", "_length", "_limit", "_last").withColumn("_fold", F.pmod(F.xxhash64("_t"), F.lit(2)).cast("int"))
+    given = salted_join(given, shares, "_last", hot, F.col("_t"), "left").withColumn("_h", F.xxhash64("_t"))
     torn = (F.coalesce(F.col("_longer") / F.col("_share"), F.lit(0.0)) >= TORN) & F.col("_t").rlike(r"\p{L}$") & ~F.col("_last").isin(FUNCTION_WORDS)
-    given = _with_share(given, shares).withColumn("_torn", torn)
-    given = cut_lineage(_featured(given, ["_key", "_source", "_marked", "_closed", "_fold", "_torn"]))
-    train = training_rows(live, bound).select("label", "_t", F.length("_t").alias("_length"), "_limit")
-    y, x, _ = _collected(_featured(_with_share(train, shares), ["label"]).select("label", "words", F.lit(-1).alias("_fold")))
-    loose = given.where(~F.col("_closed") & ~F.col("_marked")).groupBy("words").agg(F.min(F.struct("_key", "_fold")).alias("r")).select("r._key", "r._fold", "words")
-    loose = loose.orderBy(F.xxhash64("_key", F.lit("loose")), "_key").limit(bound)
-    _, open_x, open_fold = _collected(loose.select(F.lit(0.0).alias("label"), "words", "_fold"))
+    given = cut_lineage(_featured(given.withColumn("_torn", torn), ["_key", "_source", "_closed", "_marked", "_torn", "_fold", "_h"]))
+    train = salted_join(training_rows(texts, bound), shares, "_last", hot, F.col("_t"), "left")
+    y, x, _ = _collected(_featured(train, ["label"]).select("label", "words", F.lit(-1).alias("_fold")))
+    loose = given.where(~F.col("_closed") & ~F.col("_marked"))
+    n = loose.agg(F.approx_count_distinct("_h")).first()[0]
+    loose = _drawn(loose, F.col("_h"), n, bound).groupBy("_h").agg(F.min(F.struct("_fold", "words")).alias("r"))
+    _, open_x, open_fold = _collected(loose.select(F.lit(0.0).alias("label"), "r.words", "r._fold"))
     cuts, intact = int((y == 1).sum()), int((y == 0).sum())
     models: list[np.ndarray] = []
     if cuts and intact:
@@ -249,7 +278,7 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int
         import pyarrow as pa
 
         for batch in batches:
-            marks, ends, folds, torn = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5))
+            marks, ends, torn, folds = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5))
             p = np.where(marks, 1.0, 0.0)
             if shared.value and batch.num_rows:
                 x = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
@@ -259,20 +288,20 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, bound: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], ["_key", "_source", "p_cut"])
 
     kind = df.schema[key].dataType.simpleString()
-    scored = given.select("_key", "_source", "_marked", "_closed", "_fold", "_torn", "words").mapInArrow(judge, f"_key {kind}, _source string, p_cut double")
+    scored = given.select("_key", "_source", "_marked", "_closed", "_torn", "_fold", "words").mapInArrow(judge, f"_key {kind}, _source string, p_cut double")
     return scored.select(F.col("_key").alias(key), F.col("_source").alias(source), "p_cut", (F.col("p_cut") >= THRESHOLD).alias("is_cut"))
 
 
 def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, features and folds of training rows, whose number the caller has bounded."""
+    """Labels, features and folds of training rows, whose number the caller has bounded; in a fixed order."""
     table = rows.toArrow().combine_chunks()
     n = table.num_rows
     if not n:
         return np.zeros(0), np.zeros((0, 1), "i4"), np.zeros(0, "i4")
     words = table.column(1).combine_chunks()
-    words = words.chunk(0) if hasattr(words, "chunk") else words
-    order = np.lexsort(words.flatten().to_numpy().reshape(n, -1).T[::-1])
-    return table.column(0).to_numpy()[order], words.flatten().to_numpy().reshape(n, -1)[order], table.column(2).to_numpy()[order]
+    words = (words.chunk(0) if hasattr(words, "chunk") else words).flatten().to_numpy().reshape(n, -1)
+    order = np.lexsort(words.T[::-1])
+    return table.column(0).to_numpy()[order], words[order], table.column(2).to_numpy()[order]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 5) -> np.ndarray:
