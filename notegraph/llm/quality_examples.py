@@ -30,6 +30,14 @@ def _table(join: str, left: str = "", right: str = "", quote: str = "", width: i
     return [left + join.join(quote + c.ljust(width) + quote for c in row) + right for row in _ROWS]
 
 
+def _figures(join: str, left: str = "", right: str = "", quote: str = "", columns: int = 6, rows: int = 9) -> list[str]:
+    """Rows of figures, dates and shares, now and then a word or an empty cell."""
+    cells: list[str] = []
+    for i in range(columns * rows):
+        cells.append((f"0.{i * 37 % 900 + 100}", f"202{i % 5}-0{i % 9 + 1}-1{i % 10}", f"{i * 13 % 100}%", str(i * 71 % 900), ("", "stone", "yes", "-")[i // 5 % 4])[i % 5])
+    return [left + join.join(quote + c + quote for c in cells[r * columns : (r + 1) * columns]) + right for r in range(rows)]
+
+
 EXAMPLES: list[tuple[str, list[str]]] = [
     ("prose", [
         "The bridge was closed in the spring because the river had risen above the lower stones. Nobody in the village remembered such a flood, and the old "
@@ -77,6 +85,8 @@ EXAMPLES: list[tuple[str, list[str]]] = [
     ("table", ["\n".join(_table(","))]),
     ("table", ["\n".join(_table(";", quote='"')), "\n".join(_table(","  , quote='"'))]),
     ("table", ["\n".join(_table("\t")), "\n".join(_table("  ", width=12))]),
+    ("table", ["\n".join(["| mill | roof | stone | bridge | field | well |", "| --- | --- | --- | --- | --- | --- |", *_figures(" | ", "| ", " |")])]),
+    ("table", ["\n".join(_figures(";", quote='"', columns=4)), "\n".join(_figures("\t", columns=4))]),
     ("junk", [_DUMP]),
     ("junk", [_NUMBERS]),
     ("junk", [_RANDOM]),

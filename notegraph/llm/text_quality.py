@@ -190,14 +190,14 @@ class Mixture:
         return [names[i] for i in by.argmax(1)]
 
 
-def fit_mixture(stats: DataFrame, rounds: int = 6, floor: float = 0.1, anchor: float = 0.2, tolerance: float = 1e-3) -> Mixture:
+def fit_mixture(stats: DataFrame, rounds: int = 20, floor: float = 0.1, prior_rows: float = 1.0, tolerance: float = 1e-2) -> Mixture:
     """Expectation-maximisation over all rows of ``stats`` (written once, read each round).
 
     Components start at the inspected examples, one per family of them; each round sums responsibilities in the
     partitions, and only components x features numbers reach the driver. Afterwards a component is mapped to the kind
     whose examples it takes most of (its own family's kind if it takes none). ``floor`` bounds variances from below;
-    ``anchor`` is the weight, as a share of all rows, of a prior that holds each mean near its examples: without it a
-    component of a rare kind is soon won by the commonest one.
+    ``prior_rows`` rows at its examples keep a component defined to which no row falls. Rounds end when the mean log
+    likelihood of a row gains less than ``tolerance``.
     """
     families = [(kind, vector(np.array([s for s in map(statistics, texts) if s]))) for kind, texts in EXAMPLES]
     rows = stats.where(F.col(STATISTICS[0]).isNotNull()).select(*STATISTICS)
@@ -254,7 +254,7 @@ def fit_mixture(stats: DataFrame, rounds: int = 6, floor: float = 0.1, anchor: f
                 total, fit = a, b / a
             else:
                 n[int(c)], s[int(c), int(j)], q[int(c), int(j)] = a, b, e
-        held = anchor * total
+        held = prior_rows
         means = (s + held * start) / (n + held)[:, None]
         spread = q - 2 * means * s + n[:, None] * means**2
         variances = (spread + held * ((means - start) ** 2 + 0.3)) / (n + held)[:, None]
@@ -274,14 +274,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return vector(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
 
 
-def _cells_in_rows(s: dict[str, float]) -> bool:
-    """The exact check after the mixture: three lines or more, nearly all of cells, distinct, with figures and words among
-    the symbols. Menus have no figures, dumps and noise no cells or hardly anything but symbols."""
-    rows = s["n_lines"] >= 3 and s["cell_line_share"] >= 0.9 and s["distinct_line_share"] >= 0.8
-    return rows and s["digit_ratio"] >= 0.05 and s["symbol_ratio"] < 0.6 and s["mean_word_length"] > 0.2 and s["damaged_ratio"] < 0.02
-
-
-def classify_documents(docs: DataFrame, key: str, text: str, rounds: int = 6) -> DataFrame:
+def classify_documents(docs: DataFrame, key: str, text: str, rounds: int = 20) -> DataFrame:
     """``(key, kind, *STATISTICS)``: the statistics with ``kind`` prose, list, table or junk.
 
     Null, empty and blank texts have null statistics and a null kind. An empty table gives an empty result.
@@ -297,9 +290,8 @@ def classify_documents(docs: DataFrame, key: str, text: str, rounds: int = 6) ->
             kinds: list[str | None] = [None] * batch.num_rows
             if known.any():
                 x = vector(np.stack([c.to_numpy(zero_copy_only=False)[known] for c in columns], axis=1))
-                s = np.stack([c.to_numpy(zero_copy_only=False)[known] for c in columns], axis=1)
-                for i, kind, row in zip(np.nonzero(known)[0], shared.value.classify(x), s):
-                    kinds[i] = "table" if kind == "junk" and _cells_in_rows(dict(zip(STATISTICS, row))) else kind
+                for i, kind in zip(np.nonzero(known)[0], shared.value.classify(x)):
+                    kinds[i] = kind
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), *columns], ["key", "kind", *STATISTICS])
 
     kind = docs.schema[key].dataType.simpleString()
