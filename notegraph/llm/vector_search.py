@@ -1,15 +1,17 @@
 """The k most similar vectors of every vector: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample, every row is indexed. A query keeps a priority queue of tree nodes by distance
-and opens the best until it has visited its number of leaves; that number is calibrated on held-out sample queries
-against brute force. Rows travel once, to the bucket of leaves they live in; a query travels on only to those further
-buckets that hold leaves it has to visit.
+The tree is fitted on a bounded sample; leaves that would hold many rows are split again on the executors, each by a tree
+fitted on a bounded sample of its own, so that leaves stay small as tables grow. Every row is indexed. A query keeps a
+priority queue of tree nodes by distance and opens the best until it has visited its number of leaves; that number is
+calibrated against brute force over all rows, on queries kept out of the sample. Rows travel once, to the bucket of
+leaves they live in; a query travels on only to those further buckets that hold leaves it has to visit.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +27,14 @@ from notegraph.session import cut_lineage
 SAMPLE_ROWS = 8_192
 #: Sample rows in a leaf before it is split no further, and branches of a split.
 LEAF_ROWS, BRANCHES = 48, 8
-#: Recall that calibration aims at, and how many sample rows serve as its queries.
+#: Rows of a leaf, by the sample's share, from which on it is split on the executors, and the rows that is fitted on.
+SPLIT_ROWS, SPLIT_SAMPLE = 4_096, 2_048
+#: Recall that calibration aims at, and how many rows serve as its queries (about).
 TARGET_RECALL, CALIBRATION_QUERIES = 0.98, 384
 #: Distinct vectors in a bucket of leaves: what one task holds as a matrix (384 floats each: 25 MB).
 BUCKET_ROWS = 16_384
+#: Visitors that a task takes, in bucket sizes: with as many rows again, at most 113 MB of vectors.
+VISITORS = 2
 
 
 @dataclass
@@ -107,30 +113,32 @@ def fit_tree(x: np.ndarray, leaf_rows: int = LEAF_ROWS, branches: int = BRANCHES
             open_nodes.append((len(centres), group))
             centres.append(x[group].mean(0))
             kids.append([])
-    leaf, n = [], 0
-    for k in kids:
-        leaf.append(-1 if k else n)
-        n += not k
-    return Tree(np.stack(centres).astype("f4"), kids, leaf, n)
-
-
-def calibrate(tree: Tree, x: np.ndarray, k: int, target: float = TARGET_RECALL, queries: int = CALIBRATION_QUERIES, seed: int = 11) -> int:
-    """The fewest leaf visits (doubling, then refined) at which sample queries reach the target recall, by brute force."""
-    if len(x) < 2:
-        return 1
-    at = np.random.default_rng(seed).permutation(len(x))[:queries]
-    sims = x[at] @ x.T
-    sims[np.arange(len(at)), at] = -2
-    k = min(k, len(x) - 1)
-    floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
-    true = sims >= floor[:, None] - 1e-7
-    home = tree.home(tree.distances(x))
-    order = tree.search(tree.distances(x[at]), tree.leaves)
-    place = np.empty((len(at), tree.leaves), dtype=np.int64)
-    for i, leaves in enumerate(order):
-        place[i, leaves] = np.arange(len(leaves))
-    need = place[np.nonzero(true)[0], home[np.nonzero(true)[1]]]
-    return int(np.sort(need)[min(len(need) - 1, int(np.ceil(target * len(need))))]) + 1
+    return numbered(np.stack(centres).astype("f4"), kids)
+
+
+def numbered(centres: np.ndarray, kids: list[list[int]]) -> Tree:
+    """The tree with its leaves numbered depth first, so that near leaves have near numbers."""
+    leaf, n, stack = [-1] * len(kids), 0, [0]
+    while stack:
+        node = stack.pop()
+        if kids[node]:
+            stack += reversed(kids[node])
+        else:
+            leaf[node], n = n, n + 1
+    return Tree(centres, kids, leaf, n)
+
+
+def grafted(tree: Tree, grafts: dict[int, Tree]) -> Tree:
+    """The tree with the leaves of ``grafts`` replaced by trees."""
+    centres, kids = [tree.centres], [list(k) for k in tree.kids]
+    for node, place in enumerate(tree.leaf):
+        if place in grafts and grafts[place].leaves > 1:
+            other = grafts[place]
+            shift = len(kids) - 1  # its root is the leaf itself
+            kids[node] = [k + shift for k in other.kids[0]]
+            kids += [[k + shift for k in ks] for ks in other.kids[1:]]
+            centres.append(other.centres[1:])
+    return numbered(np.concatenate(centres), kids)
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,23 +159,93 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], (x[good] / norm[good, None]).astype("f4")
 
 
-def _sample(df: DataFrame, key: str, field: str, dim: int, rows: int) -> np.ndarray:
-    """At most ``rows`` usable distinct vectors of a field, chosen by the hash of the key."""
-    share = min(1.0, 1.1 * rows / max(1, df.count()))
-    picked = df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000) + 1).where(F.size(field) == dim).select(field).limit(rows)
-    table = picked.toArrow().column(0).combine_chunks()
+def _share(key: str, salt: str, share: float):
+    """Rows whose hash falls in a share of them; other salts are independent."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000) + 1
+
+
+def _sample(df: DataFrame, field: str, dim: int) -> np.ndarray:
+    """The usable distinct vectors of a field of a bounded frame."""
+    table = df.where(F.size(field) == dim).select(field).toArrow().column(0).combine_chunks()
     if isinstance(table, pa.ChunkedArray):
         table = pa.concat_arrays(table.chunks) if table.num_chunks else pa.array([], pa.list_(pa.float32()))
     return np.unique(_unit(table, dim)[1], axis=0)
 
 
+def split_leaves(base: DataFrame, fields: list[str], trees: list[Tree], sizes: list[dict[int, float]], dim: int, split_rows: int, split_sample: int) -> list[Tree]:
+    """The trees with leaves of more than ``split_rows`` rows split again. ``sizes`` holds the rows of each leaf as the
+    sample has it. Each such leaf is fitted in a task on about ``split_sample`` of its rows; only its centres come back,
+    so their size is bounded by the sample's leaves."""
+    rates = [{leaf: min(1.0, split_sample / n) for leaf, n in size.items() if n > split_rows} for size in sizes]
+    if not any(rates):
+        return trees
+    shared = base.sparkSession.sparkContext.broadcast((trees, rates))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, rates = shared.value
+        for batch in batches:
+            draw = batch.column(batch.num_columns - 1).to_numpy()
+            for f, (tree, rate) in enumerate(zip(trees, rates)):
+                for start in range(0, batch.num_rows if rate else 0, 2048):
+                    rows, x = _unit(batch.column(f + 1).slice(start, 2048), dim)
+                    if not len(rows):
+                        continue
+                    home = tree.home(tree.distances(x))
+                    part = draw[start : start + 2048][rows]
+                    keep = [i for i in range(len(rows)) if part[i] < rate.get(int(home[i]), 0.0)]
+                    yield pa.RecordBatch.from_arrays([pa.array([f] * len(keep), pa.int32()), pa.array(home[keep], pa.int32()), pa.array([x[i].tobytes() for i in keep], pa.binary())], ["f", "leaf", "v"])
+
+    def fit(pdf):
+        import pandas as pd
+
+        x = np.unique(np.frombuffer(b"".join(pdf["v"]), "f4").reshape(len(pdf), dim), axis=0)
+        return pd.DataFrame({"f": [pdf["f"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "tree": [pickle.dumps(fit_tree(x, max(LEAF_ROWS // 2, 1) if split_sample > LEAF_ROWS else 2))]})
+
+    drawn = base.withColumn("_draw", F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1_000_000)) / F.lit(1e6))
+    made = drawn.mapInArrow(pick, "f int, leaf int, v binary").groupBy("f", "leaf").applyInPandas(fit, "f int, leaf int, tree binary").collect()
+    grafts: list[dict[int, Tree]] = [{} for _ in fields]
+    for row in made:
+        grafts[row["f"]][row["leaf"]] = pickle.loads(row["tree"])  # noqa: S301 - written by fit above
+    return [grafted(tree, g) if g else tree for tree, g in zip(trees, grafts)]
+
+
+def calibrate(base: DataFrame, fields: list[str], trees: list[Tree], asked: list[np.ndarray], k: int, dim: int, target: float) -> list[int]:
+    """Per field, the leaf visits at which the queries ``asked`` find ``target`` of their true ``k`` nearest among all
+    rows, which every partition looks for by brute force, a block at a time; copies of a query are not its neighbours."""
+    shared = base.sparkSession.sparkContext.broadcast((trees, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, asked = shared.value
+        for batch in batches:
+            for f, (tree, q) in enumerate(zip(trees, asked)):
+                for start in range(0, batch.num_rows if len(q) else 0, 4096):
+                    rows, x = _unit(batch.column(f + 1).slice(start, 4096), dim)
+                    if not len(rows):
+                        continue
+                    sims = q @ x.T
+                    sims[sims > 1 - 1e-6] = -2
+                    top = np.argpartition(-sims, min(k, len(rows)) - 1, axis=1)[:, :k]
+                    near = np.take_along_axis(sims, top, 1).ravel()
+                    home, which = tree.home(tree.distances(x))[top].ravel(), np.repeat(np.arange(len(q)), top.shape[1])
+                    kept = near > -1.5
+                    yield pa.RecordBatch.from_arrays([pa.array([f] * int(kept.sum()), pa.int32()), pa.array(which[kept], pa.int32()), pa.array(home[kept], pa.int32()), pa.array(near[kept].astype("f8"))], ["f", "q", "leaf", "cosine"])
+
+    best = W.partitionBy("f", "q").orderBy(F.desc("cosine"))
+    true = base.mapInArrow(run, "f int, q int, leaf int, cosine double").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
+    need: list[list[int]] = [[] for _ in fields]
+    places = [[{leaf: i for i, leaf in enumerate(order)} for order in (tree.search(tree.distances(q), tree.leaves) if len(q) else [])] for tree, q in zip(trees, asked)]
+    for f, q, leaf in true.select("f", "q", "leaf").collect():  # k a query
+        need[f].append(places[f][q][leaf])
+    return [int(np.sort(n)[min(len(n) - 1, int(np.ceil(target * len(n))))]) + 1 if n else 1 for n in need]
+
+
 @dataclass
 class _Buckets:
     """Which buckets hold a leaf, and into how many chunks the queries of a bucket are cut.
 
     Neighbouring leaves share a bucket up to ``rows`` rows. A leaf with more is spread over several, all of which its
-    visitors go to; a bucket with many more visitors than rows is repeated, each chunk answering a part of them. So no
-    task holds more than a few times ``rows``.
+    visitors go to; a bucket with more than ``VISITORS`` times ``rows`` visits is repeated, each chunk answering a part of
+    them. So no task holds more than ``VISITORS + 1`` times ``rows`` vectors, but for chance in the parts.
     """
 
     shards: dict[tuple[int, int], list[int]]
@@ -191,10 +269,10 @@ class _Buckets:
                 number += many - 1
                 room += here if many == 1 else rows
             number += 1
-        return cls(shards, {b: max(1, n // (8 * rows)) for b, n in asked.items()})
+        return cls(shards, {b: max(1, -(-n // (VISITORS * rows))) for b, n in asked.items()})
 
 
-def nearest(df: DataFrame, key: str, fields: list[str], k: int = 5, dim: int = 384, sample_rows: int = SAMPLE_ROWS, target: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def nearest(df: DataFrame, key: str, fields: list[str], k: int = 5, dim: int = 384, sample_rows: int = SAMPLE_ROWS, target: float = TARGET_RECALL, bucket_rows: int = BUCKET_ROWS, split_rows: int = SPLIT_ROWS, split_sample: int = SPLIT_SAMPLE) -> DataFrame:
     """``(vec_field, id, neighbour, cosine)``: for each row and field its ``k`` most similar other rows.
 
     ``key`` must be a unique integer. Vectors that are null, of another length than ``dim``, zero or with NaN, infinite
@@ -205,12 +283,20 @@ def nearest(df: DataFrame, key: str, fields: list[str], k: int = 5, dim: int = 3
     """
     spark = df.sparkSession
     base = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *fields)
+    total = base.count()
     trees: list[Tree] = []
+    sizes: list[dict[int, float]] = []
+    asked: list[np.ndarray] = []
     for field in fields:
-        x = _sample(base, "id", field, dim, sample_rows)
-        tree = fit_tree(x)
-        tree.visits = calibrate(tree, x, k, target)
-        trees.append(tree)
+        held_out = _share("id", "asked", CALIBRATION_QUERIES / max(1, total))
+        asked.append(_sample(base.where(held_out), field, dim))
+        x = _sample(base.where(~held_out & _share("id", "sample", sample_rows / max(1, total))), field, dim)
+        trees.append(fit_tree(x))
+        share = np.bincount(trees[-1].home(trees[-1].distances(x)), minlength=trees[-1].leaves) / max(1, len(x)) if len(x) else np.zeros(0)
+        sizes.append({leaf: float(n * total) for leaf, n in enumerate(share)})
+    trees = split_leaves(base, fields, trees, sizes, dim, split_rows, split_sample)
+    for tree, visits in zip(trees, calibrate(base, fields, trees, asked, k, dim, target)):
+        tree.visits = visits
     shared = spark.sparkContext.broadcast(trees)
     keep = k + 1
 
@@ -236,8 +322,8 @@ def nearest(df: DataFrame, key: str, fields: list[str], k: int = 5, dim: int = 3
                     if send:
                         x = x[send]
                         far = tree.distances(x)
-                        half = x.astype("f2")
-                        yield _placed(f, tree.home(far).tolist(), mine[send].tolist(), [v.tobytes() for v in half], tree.search(far, tree.visits))
+                        short = np.round(x * (32767.0 / np.abs(x).max(1, keepdims=True))).astype("i2")
+                        yield _placed(f, tree.home(far).tolist(), mine[send].tolist(), [v.tobytes() for v in short], tree.search(far, tree.visits))
 
     def _placed(f: int, leaf: list, ids: list, vectors: list, visits: list) -> pa.RecordBatch:
         arrays = [pa.array([f] * len(ids), pa.int32()), pa.array(leaf, pa.int32()), pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(visits, pa.list_(pa.int64()))]
@@ -277,7 +363,7 @@ def nearest(df: DataFrame, key: str, fields: list[str], k: int = 5, dim: int = 3
         import pandas as pd
 
         ids, leaf = pdf["id"].to_numpy(), pdf["leaf"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["v"]), "f2").reshape(len(pdf), dim).astype("f4")
+        x = np.frombuffer(b"".join(pdf["v"]), "i2").reshape(len(pdf), dim).astype("f4")
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         reached: dict[int, list[int]] = {}
         for i, leaves in enumerate(pdf["opened"]):
