@@ -32,6 +32,22 @@ def test_the_share_decides_in_spaces_of_any_size(spark):
         assert not any(kinds(spark, rows).values())
 
 
+def test_lines_served_to_many_notes_are_residue_though_no_list_has_them(spark):
+    own = [(i, f"The claim {'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10 % 10] * 4} stands on the page.", "a") for i in range(100)]
+    notice = "The gatekeeper of this website wants another look"
+    given = [(1000 + i, f"A note of its own, {'uvwxyz'[i % 6] * (i + 1)}.\n\n{notice}", "a") for i in range(4)]
+    inside = [(2000, f"He said: the gatekeeper of this website wants another look at it, {'q' * 5}.", "a")]
+    once = [(3000, "A note.\n\nThe doorman of this website wants another look", "a")]
+    assert {k for k, v in kinds(spark, own + given + inside + once).items() if v} == {k for k, _, _ in given}
+
+
+def test_recurrent_lines_joined_by_host_where_they_are_many(spark, monkeypatch):
+    rows = [(i, f"Relevant notes:\n{{{{summary}}}}\n\nText {'x' * i}", "a") for i in range(40)] + [(100 + i, f"Relevant notes:\nPlain text {'y' * i}", None) for i in range(40)]
+    few = kinds(spark, rows)
+    monkeypatch.setattr(residue, "BROADCAST_LINES", 0)
+    assert kinds(spark, rows) == few and sum(v is not None for v in few.values()) == 40
+
+
 def test_fences_that_recur_still_mark_code():
     fenced = "Text.\n\n```\n{{ slot }}\n```\n\nMore text."
     assert residue.residue_kind(fenced, frozenset({"```"})) is None
