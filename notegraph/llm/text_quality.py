@@ -63,7 +63,7 @@ _TABLE: list[np.ndarray] = []
 _MARKER = re.compile(r"\s*(?:[-*+•–—→»✓‣▪◦·]\s+|\[[ xX]\]\s|\(?(?:\d{1,3}|[a-zA-Z])[.)]\s|\[\d{1,3}\]\s|\d{1,3}\s+[-–]\s)")
 _MOJIBAKE = re.compile(r"Ã[-¿]|Â[-¿]|â€.?|ðŸ|Ð[^\sA-Za-z]|ï¿½")
 _CELLS = re.compile(r"\s*\|\s*|\s*│\s*|\t|\"?;\"|(?<=\S)\s{2,}(?=\S)|(?<=[^\s,]),(?=[^\s,])|,,")
-_SENTENCE = re.compile(r"[.!?。]+\s+|\s*[\r\n]+\s*")
+_SENTENCE = re.compile(r"[.!?。]+\s+|[\r\n]+")
 _ENTRY = re.compile(r"\s·\s|;\s|,\s|\s\|\s|\s/\s")
 
 #: The statistics, in the order of the vectors.
@@ -110,11 +110,11 @@ def statistics(text: str | None) -> list[float] | None:
             marked += 1
         if size < 60:
             short += size
-        if len(_CELLS.findall(x)) >= 2 or x.startswith("+--"):
+        if (_may_have_cells(x) and len(_CELLS.findall(x)) >= 2) or x.startswith("+--"):
             celled += 1
     if len(lines) <= max(3, w / 12):
         entries = len(_ENTRY.findall(text))
-    sentences = [x for x in _SENTENCE.split(low) if x]
+    sentences = [y for x in _SENTENCE.split(low) if (y := x.strip())]
     damaged = int(n[DAMAGED])
     if not text.isascii():
         damaged += 2 * len(_MOJIBAKE.findall(text))
@@ -126,6 +126,11 @@ def statistics(text: str | None) -> list[float] | None:
     ]
 
 
+def _may_have_cells(line: str) -> bool:
+    """Whether a line has anything that may part two cells: most lines of prose need no further look."""
+    return not line.isascii() or "|" in line or "\t" in line or "  " in line or '";' in line or line.count(",") - line.count(", ") > 1
+
+
 def document_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per distinct key with a column per statistic; null for null, empty and blank texts. Narrow, no shuffle.
 
