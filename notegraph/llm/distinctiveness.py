@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from notegraph.operators.skew import hot_keys, salted_join
+from notegraph.operators.skew import hot_keys
 
 
 def residual_idf(postings: DataFrame, term: str, record: str, tf: str, records: int | None = None) -> DataFrame:
@@ -17,20 +18,26 @@ def residual_idf(postings: DataFrame, term: str, record: str, tf: str, records:
 
     Repeated rows count once (the greatest tf of a term and record); a null or NaN tf counts as a posting of tf 0, so
     it gives df but no frequency; postings with a null term or record are dropped. An empty table gives an empty one.
-    Hot terms are joined salted; counts are combined on the map side.
+    Hot terms are spread over term and record, and their counts, combined on the map side, broadcast back.
     """
     value = F.coalesce(F.when(~F.isnan(tf), F.col(tf).cast("double")), F.lit(0.0))
-    rows = postings.where(F.col(term).isNotNull() & F.col(record).isNotNull())
-    once = rows.groupBy(term, record).agg(F.max(value).alias("tf"))
+    rows = postings.where(F.col(term).isNotNull() & F.col(record).isNotNull()).select(term, record, value.alias("tf"))
     if records is None:
         records = rows.select(record).distinct().count()
     n = F.lit(float(max(records, 1)))
-    stats = once.groupBy(term).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    hot = hot_keys(rows, term)
+    # Ordinary terms: one shuffle on the term, after which repeats, counts and scores are found in place.
+    cold = (rows.where(~F.col(term).isin(hot)) if hot else rows).repartition(F.col(term))
+    same = W.partitionBy(term)
+    once = cold.groupBy(term, record).agg(F.max("tf").alias("tf"))
+    counted = once.withColumns({"df": F.count(F.lit(1)).over(same), "cf": F.sum("tf").over(same)})
+    if hot:
+        spread = rows.where(F.col(term).isin(hot)).groupBy(term, record).agg(F.max("tf").alias("tf"))
+        stats = spread.groupBy(term).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        counted = counted.unionByName(spread.join(F.broadcast(stats), term))  # as many rows as hot terms
     expected = F.when(F.col("cf") > 0, -F.log2(-F.expm1(-F.col("cf") / n))).otherwise(F.lit(0.0))
-    idf = -F.log2(F.col("df") / n)
-    stats = stats.withColumn("ridf", F.when(F.col("cf") > 0, idf - expected).otherwise(F.lit(0.0)))
-    joined = salted_join(once, stats, term, hot_keys(rows, term), F.col(record))
-    return joined.select(term, record, "tf", "df", "cf", "ridf", (F.col("ridf") * F.col("tf")).alias("score"))
+    ridf = F.when(F.col("cf") > 0, -F.log2(F.col("df") / n) - expected).otherwise(F.lit(0.0))
+    return counted.withColumn("ridf", ridf).select(term, record, "tf", "df", "cf", "ridf", (F.col("ridf") * F.col("tf")).alias("score"))
 
 
 def most_characteristic(scored: DataFrame, term: str, record: str, least_terms: int = 40, least_tf: float = 2.0) -> DataFrame:
