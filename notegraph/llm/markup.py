@@ -1,8 +1,9 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX turned to clean text that keeps its structure.
 
 A body is parsed into nodes, each with the path of markup from the root to it. Tag-path ratios (text length and
-punctuation per path, smoothed over the document, multiplied, compared with a threshold) select the content nodes of
-HTML; structural nodes (headings, items, code, tables, formulas) are kept as such.
+punctuation per path, smoothed over the document, multiplied, compared with a threshold) select the paths of HTML that
+are content. Headings, items, code, tables, formulas and link texts are kept as such, but for those of navigation,
+footers and lists of links, which have to pass the threshold like the rest.
 """
 
 from __future__ import annotations
@@ -64,17 +65,24 @@ _WIKI_LINK = re.compile(r"\[\[([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]")
 _EXTERNAL = re.compile(r"(?<!\[)\[((?:https?|ftp):\/\/[^\s\]]+)[ \t]+([^\[\]\n]+)\]")
 _WIKI_MARK = re.compile(r"(?<!')('''''|'''|'')(?!')(?=\S)(.+?)(?<=[^\s'])\1(?!')")
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|.*?^[ \t]*\|\}[ \t]*$", re.S | re.M)
+_ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.I | re.S)
+# HTML elements that frame a page, and those whose text is judged.
+_CHROME = frozenset("nav footer menu form select aside header button".split())
+_BOXES = _CHROME | frozenset("div section td article main".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？]")
 
 
 @dataclass
 class Node:
-    """A leaf: its markup path, its text as it is to be kept, and whether it has a structure of its own."""
+    """A leaf: its markup path, its text as it is to be kept, whether it has a structure of its own, how many of its
+    characters are link text, and whether it holds links, code or formulas."""
 
     path: str
     text: str
     structural: bool = False
     code: bool = False
+    linked: int = 0
+    held: bool = False
 
 
 @dataclass
@@ -236,7 +244,9 @@ def _blocks(text: str, out: Parsed, kept: list[str]) -> None:
         clean = _KEPT.sub(lambda m: {"c": "`{}`", "f": "${}$"}.get(kept[int(m[1])][0], "{}").format(kept[int(m[1])][1:]), clean)
         clean = re.sub(r"[ \t]+", " ", clean).strip()
         if clean:
-            out.nodes.append(Node("/".join([*stack, path]), prefix + clean, structural))
+            linked = sum(len(_TAG.sub("", m[1]).strip()) for m in _ANCHOR.finditer(content)) if "<" in content else 0
+            held = linked > 0 or "\x00" in content or "[" in content
+            out.nodes.append(Node("/".join([*stack, path]), prefix + clean, structural, linked=linked, held=held))
 
     def flush() -> None:
         if buffer:
@@ -331,18 +341,23 @@ def _blocks(text: str, out: Parsed, kept: list[str]) -> None:
     flush()
 
 
-def content_nodes(nodes: list[Node], sigma: float = 1.0, share: float = 0.3) -> list[bool]:
-    """Which nodes are content, by fused tag-path ratios.
+def content_nodes(nodes: list[Node], sigma: float = 1.0, share: float = 0.3, links: float = 0.8) -> list[bool]:
+    """Which nodes are content, by fused tag-path ratios, decided for whole paths.
 
     Per path: characters per node and punctuation per node. Each node has its path's ratios; both series are smoothed
-    over the document with a Gaussian, multiplied, and compared with ``share`` of their standard deviation. Nodes with
-    a structure of their own, and all nodes outside HTML containers, are content whatever their ratio.
+    over the document with a Gaussian and multiplied; a path whose nodes reach, on average, ``share`` of the standard
+    deviation is content. A path below it is not if it leads through navigation, a footer or the like, or is a list of
+    links in a box: three nodes or more, ``links`` of their characters link text, without punctuation. Elsewhere nodes
+    with a structure of their own, links, code or formulas are content whatever their ratio, and so are all nodes outside HTML boxes.
     """
     if not nodes:
         return []
     paths: dict[str, list[int]] = {}
     for i, n in enumerate(nodes):
         paths.setdefault(n.path, []).append(i)
+    steps = {p: _BOXES.intersection(p.split("/")) for p in paths}
+    if not any(steps.values()):
+        return [True] * len(nodes)
     length, marks = np.zeros(len(nodes)), np.zeros(len(nodes))
     for places in paths.values():
         length[places] = sum(len(nodes[i].text) for i in places) / len(places)
@@ -352,8 +367,18 @@ def content_nodes(nodes: list[Node], sigma: float = 1.0, share: float = 0.3) ->
     kernel /= kernel.sum()
     fused = np.convolve(np.pad(length, 2, mode="edge"), kernel, "valid") * np.convolve(np.pad(marks, 2, mode="edge"), kernel, "valid")
     limit = share * fused.std()
-    boxed = [any(x in ("nav", "header", "footer", "aside", "menu", "form", "div", "td", "select") for x in n.path.split("/")) for n in nodes]
-    return [n.structural or not b or f >= limit or f > 0 and limit == 0 for n, b, f in zip(nodes, boxed, fused)]
+    keep = [True] * len(nodes)
+    for path, places in paths.items():
+        if not steps[path]:
+            continue
+        # The path's own punctuation has to bear what its neighbours lend it.
+        if marks[places[0]] > 0 and fused[places].mean() >= limit:
+            continue
+        text = sum(len(nodes[i].text.removeprefix("- ")) for i in places)
+        listed = len(places) >= 3 and marks[places[0]] == 0 and sum(nodes[i].linked for i in places) >= links * text
+        for i in places:
+            keep[i] = not (_CHROME & steps[path]) and not listed and (nodes[i].structural or nodes[i].held or len(paths) == 1)
+    return keep
 
 
 def clean_text(parsed: Parsed) -> str:
@@ -369,7 +394,8 @@ def clean_text(parsed: Parsed) -> str:
 
 
 def clean_markup(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, text, kinds)``: clean text of every row and the sorted kinds of markup it had. Narrow, no shuffle.
+    """``(key, text, kinds, n_nodes, n_dropped)``: clean text of every row, the sorted kinds of markup it had, and how many
+    of its nodes were left out as no content. Narrow, no shuffle.
 
     Null texts stay null with no kinds, empty ones stay empty. Text that only resembles markup (a comparison, a price,
     a path, a placeholder) is left as it is. Null keys are dropped; extra columns are ignored.
@@ -379,12 +405,15 @@ def clean_markup(df: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             texts: list[str | None] = []
             kinds: list[list[str]] = []
+            sizes: list[tuple[int, int]] = []
             for t in batch.column(1).to_pylist():
                 parsed = parse(t) if t else Parsed()
                 texts.append(clean_text(parsed) if t else t)
                 kinds.append(sorted(parsed.kinds))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["key", "text", "kinds"])
+                sizes.append((len(parsed.nodes), content_nodes(parsed.nodes).count(False)))
+            counts = [pa.array([n[j] for n in sizes], pa.int32()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string())), *counts], ["key", "text", "kinds", "n_nodes", "n_dropped"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, text string, kinds array<string>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, text string, kinds array<string>, n_nodes int, n_dropped int").withColumnRenamed("key", key)

@@ -76,7 +76,7 @@ def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_markup(_read(spark, folder, "notes"), "note_id", "body").select("note_id", "text", "kinds")
+    return clean_markup(_read(spark, folder, "notes"), "note_id", "body").select("note_id", "text", "kinds", "n_nodes", "n_dropped")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

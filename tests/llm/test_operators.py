@@ -13,7 +13,7 @@ from notegraph.llm.distinctiveness import most_characteristic, residual_idf
 from notegraph.llm.rank_fusion import fused_top, reciprocal_rank_fusion
 from notegraph.llm.text_quality import STATISTICS, classify_documents, document_statistics, statistics
 from notegraph.llm.tokenizer import ByteBpe, count_tokens, encode_corpus
-from notegraph.llm.vector_search import exact_neighbours, nearest, neighbour_pairs
+from notegraph.llm.vector_search import exact_neighbours, fit_tree, grafted, nearest, neighbour_pairs
 
 SIGNALS = ["a", "b"]
 
@@ -181,6 +181,8 @@ def test_vector_search_recall_copies_and_bad_vectors(spark):
     by = Counter(r.id for r in found)
     assert set(by) == set(range(len(x))) and set(by.values()) == {5}
     assert np.mean([sims[r.id, r.neighbour] >= floor[r.id] - 1e-3 for r in found]) >= 0.95
+    split = nearest(df, "id", ["v"], 5, 24, sample_rows=400, bucket_rows=200, split_rows=8, split_sample=64).collect()
+    assert set(Counter(r.id for r in split).values()) == {5} and np.mean([sims[r.id, r.neighbour] >= floor[r.id] - 1e-3 for r in split]) >= 0.95
     pairs = neighbour_pairs(nearest(df, "id", ["v"], 5, 24)).collect()
     assert all(r.note_id_a < r.note_id_b for r in pairs) and len(pairs) == len(set(pairs))
     exact = exact_neighbours(df, "id", "v", 100, 5, 24).collect()
@@ -190,6 +192,18 @@ def test_vector_search_recall_copies_and_bad_vectors(spark):
     assert {(r.id, r.neighbour) for r in nearest(few, "id", ["v"], 5, 2).collect()} == {(1, 2), (2, 1)}
 
 
+def test_grafted_trees_keep_their_leaves_apart():
+    x = vectors()[:400].astype("f4")
+    tree = fit_tree(x, 100)
+    parts = tree.home(tree.distances(x))
+    whole = grafted(tree, {0: fit_tree(x[parts == 0], 10), 1: fit_tree(x[parts == 1], 10)})
+    assert sorted(n for n in whole.leaf if n >= 0) == list(range(whole.leaves)) and whole.leaves > tree.leaves
+    home = whole.home(whole.distances(x))
+    for leaf in range(whole.leaves):
+        assert len(set(parts[home == leaf])) <= 1
+    assert [sorted(order) for order in whole.search(whole.distances(x[:5]), whole.leaves)] == [list(range(whole.leaves))] * 5
+
+
 @pytest.mark.parametrize(
     "text, kinds",
     [
@@ -223,6 +237,23 @@ def test_tag_paths_drop_menus():
     assert "long paragraph" in text and "Home" not in text
 
 
+def test_menus_and_footers_go_and_structure_stays():
+    long = "This is a long paragraph, with commas, and with stops. It says something of its own."
+    menu = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li><li><a href='/h'>Help</a></li></ul></nav>"
+    main = "<div><h1>Title of it</h1><p>" + "</p><p>".join([long] * 4) + "</p><ul><li>first thing</li><li>second thing</li></ul><p>As $x^2$</p><table><tr><td>76</td><td>b</td></tr></table><pre>a = 1</pre></div>"
+    side = "<section><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li><li><a href=z>Three</a></li></ul></section>"
+    parsed = markup.parse(menu + main + side + "<footer><p>Imprint Contact</p></footer>")
+    text = markup.clean_text(parsed)
+    assert not any(w in text for w in ("Home", "About", "Help", "One", "Two", "Three", "Imprint"))
+    assert all(w in text for w in ("# Title of it", long, "- first thing", "- second thing", "$x^2$", "76", "```\na = 1\n```"))
+    assert markup.content_nodes(parsed.nodes).count(False) == 7
+
+
+def test_lists_of_links_outside_boxes_stay():
+    body = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li><li><a href=z>Three</a></li></ul>\n\n" + "A sentence, and more of it. " * 5
+    assert markup.clean_text(markup.parse(body)).startswith("- One\n- Two\n- Three")
+
+
 @pytest.mark.parametrize(
     "body, kind",
     [
