@@ -28,9 +28,8 @@ def borders(pattern: str) -> str:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, two or more long, without stopwords; null text has none."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     runs = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
-    return F.filter(runs, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(runs, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
 
 
 def slug(title: Column) -> Column:

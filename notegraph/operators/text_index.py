@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from notegraph.functions.text import tokens
+from notegraph.session import cut_lineage
 
 #: Weights of the fields of a note, and the two constants of BM25.
 FIELD_WEIGHTS = {"title": 3.0, "description": 2.0, "body": 1.0}
 K1, B = 1.2, 0.75
 
 
-def _weighed(text: Column, w: float) -> Column:
-    return F.transform(tokens(text), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+def _weighed(words: Column, w: float) -> Column:
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
 
 def postings(docs: DataFrame, key: str, weights: dict[str, float] | None = None) -> DataFrame:
     """``(key, term, tf)``: tokens counted per field, weighted and summed. Null fields have no tokens."""
     weights = FIELD_WEIGHTS if weights is None else weights
-    fields = [_weighed(F.col(f), float(w)) for f, w in weights.items()]
+    fields = [_weighed(tokens(F.col(f)), float(w)) for f, w in weights.items()]
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key), F.explode(F.concat(*fields)).alias("p"))
     return rows.groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
 
@@ -47,19 +48,30 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+#: Distinct query terms up to which they are broadcast.
+BROADCAST_TERMS = 100_000
+
+
 def bm25(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, weights: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """``(query_key, key, score)`` of every document that shares a term with a query.
 
-    Term weights are computed once per posting of a term that any query has (a semi-join on terms before postings meet
-    documents), then queries meet postings on the term; scores are summed on the map side. Popular terms make large
-    partitions on that join: adaptive execution splits them, as both sides only need to share the term.
+    A document is tokenised once: its length is that of its token arrays, and of its tokens only those that some query
+    has leave the scan, by a semi-join with the queries' terms, broadcast where there are at most ``BROADCAST_TERMS``.
+    Term weights are computed once per posting, then queries meet postings on the term; scores are summed on the map
+    side. Popular terms make large partitions on that join: adaptive execution splits them, as both sides only need to
+    share the term.
     """
-    asked = query_terms(queries, query_key, query_text)
-    lengths = doc_lengths(docs, key, weights)
-    n = corpus_stats(lengths)
-    wanted = postings(docs, key, weights).join(asked.select("term").distinct(), "term", "left_semi")
-    frequent = document_frequency(wanted)
-    weighed = wanted.join(lengths, key).join(frequent, "term").crossJoin(F.broadcast(n))
+    weights = FIELD_WEIGHTS if weights is None else weights
+    asked = cut_lineage(query_terms(queries, query_key, query_text))
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    heard = docs.where(F.col(key).isNotNull()).select(F.col(key), *[tokens(F.col(f)).alias(f"_t_{f}") for f in weights])
+    dl = [F.size(f"_t_{f}") * F.lit(float(w)) for f, w in weights.items()]
+    n = corpus_stats(heard.select(sum(dl[1:], dl[0]).alias("dl")))
+    pairs = F.concat(*[_weighed(F.col(f"_t_{f}"), float(w)) for f, w in weights.items()])
+    met = heard.select(key, sum(dl[1:], dl[0]).alias("dl"), F.explode(pairs).alias("p")).select(key, "dl", "p.term", "p.w").join(terms, "term", "left_semi")
+    wanted = met.groupBy(key, "term").agg(F.sum("w").alias("tf"), F.max("dl").alias("dl"))
+    weighed = wanted.join(document_frequency(wanted), "term").crossJoin(F.broadcast(n))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     length = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
     weight = idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * length)
