@@ -9,7 +9,7 @@ from notegraph.functions.text import slug, title_of_path
 from notegraph.operators import graph as g
 from notegraph.operators import lifecycle, links, rules
 from notegraph.operators.fusion import fold_boosts
-from notegraph.plans.graph import BOTH, EDGES, HUBS, IDS, INDEG, MEDIAN, TITLES, communities_sql, links_of, notes_of, titles_of
+from notegraph.plans.graph import BOTH, EDGES, HUBS, IDS, INDEG, MEDIAN, TITLES, communities_sql, links_of, notes_of, pagerank_sql, titles_of
 from notegraph.session import cut_lineage
 from notegraph.sources.vault import AS_OF, parse_frontmatter, table, write_frontmatter
 
@@ -328,7 +328,44 @@ def _near(target: float) -> str:
 
 
 _OVERLAP = "WITH x AS (SELECT DISTINCT note_id, title, unnest({c}) AS v FROM notes) SELECT a.title, b.title AS other, count(*) AS n FROM x a JOIN x b ON a.v = b.v WHERE a.note_id % 100 = 0 AND a.title <> b.title GROUP BY ALL"
+_MENTIONS = f"""{TITLES}, low AS MATERIALIZED (SELECT note_id, title AS note, body, regexp_replace(lower(body), '{_B}', '-', 'g') AS b FROM notes WHERE body IS NOT NULL),
+named AS (SELECT title, lower(title) AS t FROM titles WHERE regexp_matches(lower(title), '[a-z0-9_]')),
+near AS MATERIALIZED (SELECT note_id, note, title, t, body, b FROM low JOIN named ON contains(b, regexp_replace(t, '{_B}', '-', 'g'))),
+spots AS MATERIALIZED (SELECT note_id, note, title, body, length(t) AS n, unnest(list_filter(range(1, length(b) - length(t) + 2), lambda i: substr(b, i, length(t)) = regexp_replace(t, '{_B}', '-', 'g')
+  AND NOT regexp_matches(substr(b, i - 1, CASE WHEN i > 1 THEN 1 ELSE 0 END), '[a-z0-9_]') AND NOT regexp_matches(substr(b, i + length(t), 1), '[a-z0-9_]'))) AS i FROM near),
+said AS MATERIALIZED (SELECT note_id, note, title, i - 1 AS start, n AS length, instr(reverse(left(body, i - 1)), '[[') AS o, instr(reverse(left(body, i - 1)), ']]') AS c FROM spots s
+  WHERE NOT EXISTS (SELECT 1 FROM spots l WHERE l.note_id = s.note_id AND (l.n > s.n OR (l.n = s.n AND l.title < s.title)) AND l.i < s.i + s.n AND s.i < l.i + l.n)),
+mentioned AS MATERIALIZED (SELECT note_id, note, title, start, length, o > 0 AND (c = 0 OR o < c) AS linked FROM said)"""
+_SHARED = "(SELECT a.title, b.title AS other, count(*) AS n FROM (SELECT DISTINCT note_id, title, unnest({c}) AS v FROM notes WHERE note_id % 100 = 0) a JOIN (SELECT DISTINCT title, unnest({c}) AS v FROM notes) b ON a.v = b.v WHERE a.title <> b.title GROUP BY ALL)"
+_SUGGEST = f"""WITH {EDGES}, {_MENTIONS}, fresh AS MATERIALIZED (SELECT DISTINCT note AS title, title AS other FROM mentioned WHERE note_id % 100 = 0 AND NOT linked),
+tri AS (SELECT l.title, e.src AS other, 0.5::DOUBLE AS c FROM fresh l JOIN edges e ON e.dst = l.other UNION ALL SELECT l.title, e.dst, 0.45::DOUBLE FROM fresh l JOIN edges e ON e.src = l.other),
+offers AS (SELECT title, other, 1 AS o, 'title-match' AS reason, 0.9::DOUBLE AS c FROM fresh UNION ALL SELECT title, other, 2, 'project-overlap', 0.6::DOUBLE + n * 0.1::DOUBLE FROM {_SHARED.format(c='project')}
+  UNION ALL SELECT title, other, 3, 'tag-overlap', 0.5::DOUBLE + n * 0.1::DOUBLE FROM {_SHARED.format(c='tags')} UNION ALL SELECT title, other, 4, 'shared-neighborhood', max(c) FROM tri GROUP BY ALL)
+SELECT title, other, arg_min(reason, o) AS reason, round(arg_min(c, o), 6) AS confidence FROM offers WHERE title <> other GROUP BY ALL"""
+_AREAS = f"""WITH {TITLES}, maps AS (SELECT title AS area, unnest(list_distinct(string_split_regex(lower(title), '[^a-z0-9]+'))) AS t FROM titles WHERE contains(lower(title), 'map')),
+p AS (SELECT DISTINCT p FROM (SELECT unnest(project) AS p FROM notes) WHERE p IS NOT NULL),
+hit AS (SELECT p, min(area) AS area FROM p JOIN maps ON t = string_split_regex(lower(p), '[^a-z0-9]+')[1] AND contains(lower(area), lower(p)) GROUP BY p),
+per AS (SELECT title, unnest(CASE WHEN project IS NULL OR len(project) = 0 THEN [NULL] ELSE project END) AS p FROM notes)
+SELECT title, string_agg(a, '|' ORDER BY a) AS areas FROM (SELECT DISTINCT per.title, coalesce(CASE WHEN per.p = 'graph' THEN 'architecture-map' END, hit.area, 'index') AS a FROM per LEFT JOIN hit USING (p)) GROUP BY title"""
+
+
+def betweenness_sql(levels: int) -> str:
+    """CTEs up to ``b`` (v, c): shortest paths of up to ``levels`` steps over ``edges``."""
+    parts = ["e AS MATERIALIZED (SELECT * FROM edges WHERE src <> dst)", "u1 AS MATERIALIZED (SELECT src AS s, dst AS t, 1 AS d, 1.0::DOUBLE AS p FROM e)"]
+    for i in range(1, levels):
+        parts.append(f"u{i + 1} AS MATERIALIZED (SELECT * FROM u{i} UNION ALL SELECT a.s, e.dst, {i + 1}, sum(a.p) FROM u{i} a JOIN e ON a.t = e.src WHERE a.d = {i} AND a.s <> e.dst AND NOT EXISTS (SELECT 1 FROM u{i} x WHERE x.s = a.s AND x.t = e.dst) GROUP BY a.s, e.dst)")
+    parts.append(f"b AS (SELECT x.t AS v, sum(x.p * y.p / z.p) AS c FROM u{levels} x JOIN u{levels} y ON x.t = y.s JOIN u{levels} z ON z.s = x.s AND z.t = y.t WHERE z.d = x.d + y.d GROUP BY x.t)")
+    return ", ".join(parts)
+
+
+_METRICS = f"""WITH RECURSIVE {_BRIDGES}, {pagerank_sql().removeprefix(IDS + ', ')}, {communities_sql().split(BOTH + ', ')[1]}, {betweenness_sql(12)}
+SELECT i.id, in_degree, round(r, 6) AS pagerank, l8.c AS community, round(coalesce(b.c, 0) / (((SELECT count(*) FROM ids) - 1) * ((SELECT count(*) FROM ids) - 2)), 6) AS betweenness, i.id IN (SELECT id FROM why) AS is_bridge
+FROM indeg i LEFT JOIN r20 ON r20.id = i.id LEFT JOIN l8 ON l8.id = i.id LEFT JOIN b ON b.v = i.id"""
 ORACLES = {
+    "q_mentions": f"WITH {_MENTIONS} SELECT note_id, title, start::INT AS start, length::INT AS length, linked FROM mentioned",
+    "q_suggest": _SUGGEST,
+    "q_areas": _AREAS,
+    "q_node_metrics": _METRICS,
     "q_articulation": f"WITH RECURSIVE {EDGES}, {_CUTS} SELECT id FROM cuts",
     "q_bridges": f"WITH RECURSIVE {_BRIDGES} SELECT id, reason FROM why",
     "q_graph_summary": f"WITH RECURSIVE {_BRIDGES}, {communities_sql().split(BOTH + ', ')[1]} SELECT (SELECT count(*) FROM ids) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT c) FROM l8) AS n_communities, (SELECT count(DISTINCT id) FROM why) AS n_bridges",
