@@ -12,12 +12,19 @@ def days_between(a: Column, b: Column) -> Column:
     return F.abs(micros) / F.lit(86_400e6)
 
 
-def simple_decay(days: Column, base: float = 1.0, decay_days: float = 30.0) -> Column:
+def simple_decay(days: Column, base: float = 1.0, decay_days: float | Column = 30.0) -> Column:
     """``base * exp(-days / decay_days)`` within 0..base; ``base`` where decay_days is not positive; null for null."""
-    if decay_days <= 0:
-        return F.lit(float(base))
-    decayed = F.lit(float(base)) * F.exp(-days / F.lit(float(decay_days)))
-    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(base)), decayed)))
+    span = decay_days if isinstance(decay_days, Column) else F.lit(float(decay_days))
+    decayed = F.lit(float(base)) * F.exp(-days / F.when(span > 0, span))
+    return F.when(span <= 0, F.lit(float(base))).when(days.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(base)), decayed)))
+
+
+def decay_days_of(kind: Column, days: dict[str, float], default: float = 30.0) -> Column:
+    """The decay of a note's type; types without one of their own, or with 0, have the default."""
+    out = F.lit(float(default))
+    for name, value in days.items():
+        out = F.when(kind == name, float(value)).otherwise(out) if value else out
+    return out
 
 
 def access_base(count: Column, lifetime: Column, d: float = 0.5) -> Column:

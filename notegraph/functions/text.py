@@ -39,6 +39,19 @@ def slug(title: Column) -> Column:
     return F.regexp_replace(kept, f"{BLANK}+", "-")
 
 
+def inbox_name(title: Column, agent: Column | None = None) -> Column:
+    """The file name of an inbox note: the slug of its title, after the agent's name if there is one."""
+    name = F.concat(slug(title), F.lit(".md"))
+    return name if agent is None else F.when(F.length(agent) > 0, F.concat(agent, F.lit("-"), name)).otherwise(name)
+
+
+def is_first_run(identity: Column) -> Column:
+    """Whether an identity text is still that of the template: null, marked as such, or nothing but headings, comments
+    and blanks after its frontmatter."""
+    stripped = F.regexp_replace(without_frontmatter(identity), r"(?m)^#+\s.*$|(?s:<!--.*?-->)", "")
+    return identity.isNull() | identity.contains("<!-- First session:") | (F.length(F.regexp_replace(stripped, f"{BLANK}+", "")) == 0)
+
+
 def title_of_path(path: Column) -> Column:
     """The last part of a path without ``.md``, dashes as blanks."""
     stem = F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"\.md$", "")

@@ -158,6 +158,15 @@ def q_node_metrics(spark, folder):
     return wide.select("id", "in_degree", F.round("rank", 6).alias("pagerank"), "community", F.round("betweenness", 6).alias("betweenness"), F.coalesce("is_bridge", F.lit(False)).alias("is_bridge"))
 
 
+def q_top_metrics(spark, folder):
+    """The ten best nodes by PageRank and by betweenness."""
+    e = cut_lineage(links_of(spark, folder))
+    parts = [("pagerank", g.pagerank(e, rounds=ROUNDS), "rank"), ("betweenness", g.betweenness(e), "betweenness")]
+    all_of = [df.select(F.lit(name).alias("metric"), F.col("id").alias("title"), F.col(value).alias("score")) for name, df, value in parts]
+    best = top_k(all_of[0].unionByName(all_of[1]), "metric", "title", 10)
+    return best.select("metric", "title", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def q_top_hubs_trade(spark, folder):
     d = g.in_degrees(trade_of(spark, folder)).withColumn("all", F.lit(1))
     return top_k(d, "all", "id", 10, "in_degree", None).select(F.col("id").cast("bigint").alias("id"), F.col("in_degree").cast("bigint").alias("in_degree"), F.col("rank").cast("bigint").alias("rank"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notegraph.functions import codes, decay
-from notegraph.functions.text import slug, title_of_path
+from notegraph.functions.text import inbox_name, slug, title_of_path
 from notegraph.operators import graph as g
 from notegraph.operators import lifecycle, links, rules
 from notegraph.operators.fusion import fold_boosts
 from notegraph.plans.graph import BOTH, EDGES, HUBS, IDS, INDEG, MEDIAN, TITLES, communities_sql, links_of, notes_of, pagerank_sql, titles_of
 from notegraph.session import cut_lineage
-from notegraph.sources.vault import AS_OF, parse_frontmatter, table, write_frontmatter
+from notegraph.sources.vault import AS_OF, capture, parse_frontmatter, table, write_frontmatter
 
 
 def now():
@@ -20,6 +20,8 @@ def now():
 
 #: Months by which event times are moved, to end shortly before the fixed time.
 EVENT_MONTHS = 16
+#: Days of decay of the types that have their own, for the simple decay.
+DECAY_DAYS = {"decision": 90.0, "idea": 14.0}
 #: The keywords of two invented projects, for the detection query.
 KEYWORDS = {"storage": ["cache", "backup", "shard"], "reading": ["reader", "digest"], "search": ["ranker", "index"]}
 
@@ -79,7 +81,8 @@ def q_hotspots(spark, folder):
 
 def q_simple_decay(spark, folder):
     days = decay.days_between(lifecycle.created_at(F.coalesce("last_accessed", "created")), now())
-    return notes_of(spark, folder).select("title", F.round(decay.simple_decay(days), 6).alias("vitality")).where("vitality is not null")
+    own = decay.decay_days_of(F.col("type"), DECAY_DAYS)
+    return notes_of(spark, folder).select("title", F.round(decay.simple_decay(days, 1.0, own), 6).alias("vitality")).where("vitality is not null")
 
 
 def q_revival(spark, folder):
@@ -134,6 +137,18 @@ def q_title_fault(spark, folder):
     return table(spark, folder, "search_queries").select("query_id", rules.title_fault(F.col("query")).alias("fault"))
 
 
+def q_inbox_name(spark, folder):
+    asked = table(spark, folder, "search_queries")
+    return asked.select("query_id", inbox_name(F.col("query"), F.col("intent")).alias("name"))
+
+
+def q_capture(spark, folder):
+    """Search queries as if they were captured: refused titles, slugs free of those taken, filled bodies."""
+    asked = table(spark, folder, "search_queries").select("query_id", F.col("query").alias("title"), F.lit(None).cast("string").alias("type"), F.when(F.col("query_id") % 2 == 0, F.col("query")).alias("content"))
+    made = capture(asked, "query_id", "# {Title}\n\n{Content - what we know}\n", AS_OF[:10], titles_of(spark, folder))
+    return made.select("query_id", "fault", "title", "note_type", "body", "status")
+
+
 def q_slug(spark, folder):
     return notes_of(spark, folder).select("note_id", slug(F.col("description")).alias("slug"), title_of_path(F.concat(F.lit("inbox/"), F.col("title"), F.lit(".md"))).alias("name"))
 
@@ -285,7 +300,7 @@ lively AS MATERIALIZED (SELECT *, CASE WHEN status = 'archived' THEN 'archived'
 _LIVELY = _lively_sql(True)
 _ARCHIVE = f"""ar AS (SELECT title, coalesce(status, '') AS st, {_DAYS.format(now=AS_OF, x=_CREATED.format(x='coalesce(last_accessed, created)'))} AS days, coalesce((SELECT count(*) FROM edges WHERE dst = title), 0) AS d FROM notes),
 archive AS (SELECT title FROM ar WHERE st <> 'archived' AND days IS NOT NULL AND ((days > 60 AND d < 2) OR (st IN ('completed', 'superseded') AND days > 30)))"""
-_SIMPLE = f"SELECT title, round(greatest(0, least(1, exp(-({_DAYS.format(now=AS_OF, x=_CREATED.format(x='coalesce(last_accessed, created)'))}) / 30.0::DOUBLE))), 6) AS vitality FROM notes WHERE {_CREATED.format(x='coalesce(last_accessed, created)')} IS NOT NULL"
+_SIMPLE = f"SELECT title, round(greatest(0, least(1, exp(-({_DAYS.format(now=AS_OF, x=_CREATED.format(x='coalesce(last_accessed, created)'))}) / CASE type WHEN 'decision' THEN 90.0::DOUBLE WHEN 'idea' THEN 14.0::DOUBLE ELSE 30.0::DOUBLE END))), 6) AS vitality FROM notes WHERE {_CREATED.format(x='coalesce(last_accessed, created)')} IS NOT NULL"
 _B = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
@@ -366,6 +381,8 @@ ORACLES = {
     "q_suggest": _SUGGEST,
     "q_areas": _AREAS,
     "q_node_metrics": _METRICS,
+    "q_top_metrics": f"""WITH {EDGES}, {pagerank_sql()}, {betweenness_sql(12)}, m AS (SELECT 'pagerank' AS metric, id AS title, r AS score FROM r20 UNION ALL SELECT 'betweenness', id, coalesce(c, 0) / (((SELECT count(*) FROM ids) - 1) * ((SELECT count(*) FROM ids) - 2)) FROM ids LEFT JOIN b ON v = id)
+SELECT metric, title, round(score, 6) AS score, row_number() OVER (PARTITION BY metric ORDER BY round(score, 9) DESC, title) AS rank FROM m QUALIFY rank <= 10""",
     "q_articulation": f"WITH RECURSIVE {EDGES}, {_CUTS} SELECT id FROM cuts",
     "q_bridges": f"WITH RECURSIVE {_BRIDGES} SELECT id, reason FROM why",
     "q_graph_summary": f"WITH RECURSIVE {_BRIDGES}, {communities_sql().split(BOTH + ', ')[1]} SELECT (SELECT count(*) FROM ids) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT c) FROM l8) AS n_communities, (SELECT count(DISTINCT id) FROM why) AS n_bridges",
@@ -393,6 +410,13 @@ SELECT community, size, round(m, 6) AS mean_vitality, (SELECT string_agg(title,
     "q_type_untyped": _type_sql("NULL::VARCHAR"),
     "q_projects": f"SELECT note_id, concat_ws(',', {_PROJECTS}) AS projects FROM (SELECT note_id, lower(concat_ws(chr(10), title, body)) AS t FROM notes)",
     "q_title_fault": "SELECT query_id, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN 'uuid' WHEN NOT contains(t, ' ') THEN 'one word' WHEN length(t) < 10 THEN 'short' END AS fault FROM (SELECT query_id, regexp_replace(coalesce(query, ''), '^" + _B + "+|" + _B + "+$', '', 'g') AS t FROM search_queries)",
+    "q_inbox_name": f"SELECT query_id, CASE WHEN length(intent) > 0 THEN intent || '-' ELSE '' END || {_SLUG.format(x='query')} || '.md' AS name FROM search_queries",
+    "q_capture": f"""WITH {TITLES}, c AS (SELECT query_id, query, regexp_replace(coalesce(query, ''), '^{_B}+|{_B}+$', '', 'g') AS t, {_SLUG.format(x='query')} AS s FROM search_queries),
+f AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') THEN 'uuid' WHEN NOT contains(t, ' ') THEN 'one word' WHEN length(t) < 10 THEN 'short' END AS fault FROM c),
+g AS (SELECT query_id, CASE WHEN s = '' THEN 'note-' || query_id ELSE s END AS s, query FROM f WHERE fault IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY query_id) AS rn FROM g)
+SELECT query_id, NULL AS fault, list_filter(list_transform(range(1, rn + 50), lambda i: CASE WHEN i = 1 THEN s ELSE s || '-' || i END), lambda x: NOT list_contains(l, x))[rn] AS title, 'insight' AS note_type,
+'# ' || query || chr(10) || chr(10) || CASE WHEN query_id % 2 = 0 THEN query ELSE '{{Content - what we know}}' END || chr(10) AS body, 'inbox' AS status FROM r, (SELECT list(title) AS l FROM titles)
+UNION ALL SELECT query_id, fault, NULL, NULL, NULL, NULL FROM f WHERE fault IS NOT NULL""",
     "q_slug": f"SELECT note_id, {_SLUG.format(x='description')} AS slug, replace(title, '-', ' ') AS name FROM notes",
     "q_unique_slugs": f"SELECT query_id, CASE WHEN rn > 1 THEN s || '-' || rn ELSE s END AS slug FROM (SELECT query_id, s, row_number() OVER (PARTITION BY s ORDER BY query_id) AS rn FROM (SELECT query_id, CASE WHEN length({_SLUG.format(x='query')}) > 0 THEN {_SLUG.format(x='query')} ELSE 'note-' || query_id END AS s FROM search_queries))",
     "q_validate": _VALIDATE,

@@ -19,7 +19,7 @@ def q_stream_exposure(spark, folder):
 
 def q_stream_boosts(spark, folder):
     events = event_stream(spark, folder).withColumn("b", F.col("value") / 100.0)
-    folded = run_to_end(fold_boosts_stream(events, "user_id", "ts", "b", "event_id"), "update", ["user_id"])
+    folded = run_to_end(fold_boosts_stream(events, "user_id", "ts", "b"), "update", ["user_id"])
     return folded.select("user_id", F.round("boost", 6).alias("boost"), F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegraph.functions.text import without_frontmatter
+from notegraph.session import cut_lineage
 
 #: The time at which the fixed queries look at the tables, after their last event.
 AS_OF = "2025-06-01 00:00:00"
@@ -41,14 +42,15 @@ def created_at(created):
 
 
 def read_markdown(spark: SparkSession, folder: str, space: str = "notes") -> DataFrame:
-    """``(title, space, content)`` of the ``*.md`` files of one folder, not its subfolders; a missing folder is empty."""
+    """``(title, space, content)`` of the ``*.md`` files of one folder, not its subfolders; a missing folder is empty,
+    files without a byte are passed over (the file index leaves them out), bytes that are no UTF-8 become replacement characters."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "title string, space string, content string")
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=False)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.md$", "")
-    return files.select(F.url_decode(name).alias("title"), F.lit(space).alias("space"), F.col("value").alias("content"))
+    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("title"), F.lit(space).alias("space"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def parse_frontmatter(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -125,6 +127,67 @@ def _flat_yaml(text: str) -> dict:
     return data
 
 
+def note_index(spark: SparkSession, folder: str, space: str = "notes") -> DataFrame:
+    """The notes of a markdown folder as a table: ``title, space, description, type, status, project, tags, created,
+    last_accessed, access_count, body, content``.
+
+    Files whose frontmatter is missing or cannot be read are there with null fields; their body is what is left of the
+    text. A scalar where a list belongs gives null, as does a text where a number belongs. Links are found in
+    ``content``, the whole file, by :func:`notegraph.operators.graph.link_scan`.
+    """
+    files = read_markdown(spark, folder, space)
+    parsed = parse_frontmatter(files, "title", "content")
+    kinds = {"description": "string", "type": "string", "status": "string", "project": "array<string>", "tags": "array<string>", "created": "string", "last_accessed": "string", "access_count": "bigint"}
+    fields = [(F.from_json(F.get_json_object("fm_json", f"$.{n}"), k) if k.startswith("array") else F.get_json_object("fm_json", f"$.{n}").try_cast(k)).alias(n) for n, k in kinds.items()]
+    return files.join(parsed, "title").select("title", "space", *fields, "body", "content")
+
+
+def write_store(df: DataFrame, folder: str, name: str) -> None:
+    """Writes a store (vectors, boosts, meta) as a table of the folder, replacing it. ``df`` may read the old one: it is
+    written to the shared folder first."""
+    cut_lineage(df).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def index_status(spark: SparkSession, folder: str, name: str = "note_vectors", model: str = "hashed-tokens") -> dict:
+    """Whether the index is there, how many notes it holds, its size in bytes, the encoder and its ``meta`` entries."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return {"exists": False, "notes": 0, "bytes": 0, "model": model, "meta": {}}
+    meta = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/meta.parquet")
+    kept = {r["key"]: r["value"] for r in table(spark, folder, "meta").select("key", "value").collect()} if files.exists(meta) else {}
+    return {"exists": True, "notes": table(spark, folder, name).count(), "bytes": files.getContentSummary(hadoop).getLength(), "model": kept.get("model", model), "meta": kept}
+
+
+def capture(asked: DataFrame, key: str, template: str, today: str, taken: DataFrame) -> DataFrame:
+    """Inbox notes from requests ``(key, title, type, content)``: ``(key, fault, title, note_type, body, status, created,
+    access_count)``.
+
+    A title that is no prose claim is refused with its fault and null fields. The heading and the content of the template
+    are filled in where given; the slug of the title gets ``-2``, ``-3``, ... after the titles ``taken`` and the requests
+    before it, in order of the key.
+    """
+    from notegraph.functions.text import slug
+    from notegraph.operators.rules import title_fault
+
+    rows = asked.select(key, F.col("title").alias("_name"), F.coalesce("type", F.lit("insight")).alias("note_type"), "content", title_fault(F.col("title")).alias("fault"))
+    base = F.when(F.length(slug(F.col("_name"))) > 0, slug(F.col("_name"))).otherwise(F.concat(F.lit("note-"), F.col(key).cast("string")))
+    good = rows.where("fault is null").withColumn("_slug", base)
+    stem = F.regexp_extract("title", r"^(.*?)(?:-\d+)?$", 1)
+    used = taken.select("title").where("title is not null").distinct().select(F.explode(F.array_distinct(F.array("title", stem))).alias("_slug"), "title").groupBy("_slug").agg(F.collect_set("title").alias("_used"))
+    order = F.row_number().over(Window.partitionBy("_slug").orderBy(key))
+    placed = good.withColumn("_n", order).join(used, "_slug", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<string>")))
+    names = F.transform(F.sequence(F.lit(1), F.col("_n") + F.size("_used")), lambda i: F.when(i == 1, F.col("_slug")).otherwise(F.concat_ws("-", F.col("_slug"), i.cast("string"))))
+    free = F.filter(names, lambda n: ~F.array_contains("_used", n))
+    line = F.concat(F.lit("# "), F.col("_name"))
+    parts = F.split(F.lit(template), r"# \{[^}]+\}", 2)
+    body = F.when(F.size(parts) > 1, F.concat(parts[0], line, F.element_at(parts, 2))).otherwise(F.lit(template))
+    cut = F.split(body, r"\{Content[^}]*\}", 2)
+    filled = F.when((F.length("content") > 0) & (F.size(cut) > 1), F.concat(cut[0], F.col("content"), F.element_at(cut, 2))).otherwise(body)
+    done = placed.select(key, "fault", F.get(free, F.col("_n") - 1).alias("title"), "note_type", filled.alias("body"), F.lit("inbox").alias("status"), F.lit(today).alias("created"), F.lit(0).cast("bigint").alias("access_count"))
+    return done.unionByName(rows.where("fault is not null").select(key, "fault"), allowMissingColumns=True)
+
+
 def write_frontmatter(df: DataFrame, key: str, fm_json: str, body: str) -> DataFrame:
     """``(key, content)``: fenced YAML and the body less one leading newline; empty data gives the body alone."""
     import json

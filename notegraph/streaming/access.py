@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from notegraph.session import ensure_checkpoint_dir
 
 
-def event_stream(spark: SparkSession, folder: str, table: str = "events") -> DataFrame:
-    """A table's files as a stream; the schema is that of the files."""
+def event_stream(spark: SparkSession, folder: str, table: str = "events", files: int | None = None) -> DataFrame:
+    """A table's files as a stream, ``files`` of them a batch, the oldest first; the schema is that of the files."""
     path = f"{folder}/{table}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isFile():
         return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
     return reader.parquet(path)
@@ -32,14 +34,14 @@ def exposure(events: DataFrame, title: str) -> DataFrame:
     return events.groupBy(title).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fold_boosts_stream(events: DataFrame, key: str, at: str, boost: str, tie: str, rate: float = 0.1) -> DataFrame:
+def fold_boosts_stream(events: DataFrame, key: str, at: str, boost: str, rate: float = 0.1) -> DataFrame:
     """``(key, boost, updated)`` after each batch: ``min(1, old x exp(-rate x days) + new)`` as state per key.
 
-    Events of a batch are folded in order of time, ties by ``tie``; an event older than the state counts by its
-    absolute distance, as in the batch form. Null keys, times and boosts are dropped.
+    Events of a batch are folded in order of time; an event older than the state is added without decay and leaves the
+    state's time as it is. Null keys, times and boosts and negative boosts are dropped.
     """
-    rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(boost).isNotNull())
-    rows = rows.select(F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(boost).cast("double").alias("b"), F.col(tie).alias("i"))
+    rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & (F.col(boost) >= 0))
+    rows = rows.select(F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(boost).cast("double").alias("b"))
     kind = events.schema[key].dataType.simpleString()
 
     def fold(k, batches: Iterator, state) -> Iterator:
@@ -48,10 +50,9 @@ def fold_boosts_stream(events: DataFrame, key: str, at: str, boost: str, tie: st
         import pandas as pd
 
         value, last = state.get if state.exists else (0.0, None)
-        parts = sorted(x for pdf in batches for x in zip(pdf["t"], pdf["i"], pdf["b"]))
-        for t, _, b in parts:
-            days = abs(t - last) / 86_400e6 if last is not None else 0.0
-            value, last = min(1.0, value * math.exp(-rate * days) + b), int(t)
+        for t, b in sorted(x for pdf in batches for x in zip(pdf["t"], pdf["b"])):
+            days = max(0, t - last) / 86_400e6 if last is not None else 0.0
+            value, last = min(1.0, value * math.exp(-rate * days) + b), int(t) if last is None else max(last, int(t))
         state.update((value, last))
         yield pd.DataFrame({"k": [k[0]], "boost": [value], "updated": [last]})
 
