@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.text import BLANK as _BLANK
 from notegraph.operators.skew import hot_keys, salted_join
-
+from notegraph.session import cut_lineage
 
 
 def link_key(link: Column) -> Column:
@@ -60,7 +60,7 @@ def orphan_references(refs: DataFrame, ref_id: str, links: str, at: str, parents
     third of all references is tested once; its verdict returns by a salted join. A reference without ``at`` can only
     be missing. Null and empty arrays, and null, empty and blank elements, name nothing.
     """
-    named = (
+    named = cut_lineage(
         refs.select(F.col(ref_id).alias("_ref"), F.col(at).cast("timestamp").alias("_at"), F.explode(links).alias("link"))
         .withColumn("_key", link_key(F.col("link")))
         .where("_key is not null")
