@@ -148,7 +148,7 @@ p AS (SELECT term, title, tf, df, ridf, ridf * tf AS score FROM once JOIN s USIN
 ORACLES = {
     "p1_found": _FUSED + """
 SELECT query_id, title FROM (
-  SELECT f.query_id, f.title, q.top_n, row_number() OVER (PARTITION BY f.query_id ORDER BY fused DESC, f.title) AS rn
+  SELECT f.query_id, f.title, q.top_n, row_number() OVER (PARTITION BY f.query_id ORDER BY round(fused, 12) DESC, f.title) AS rn
   FROM f JOIN (SELECT query_id, max(top_n) AS top_n FROM search_queries GROUP BY 1) q USING (query_id) WHERE n_signals > 0) WHERE rn <= top_n""",
     "p1_ranking": _FUSED + """
 SELECT query_id, title, round(fused, 9) AS fused, n_signals, rank() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC) AS rank FROM f WHERE n_signals > 0""",

@@ -10,6 +10,8 @@ from notegraph.operators.skew import hot_keys, spread_rank
 
 #: The constant added to a rank before it is inverted.
 RRF_K = 60
+#: Digits to which totals are compared.
+DIGITS = 12
 
 
 def _candidates(scores: DataFrame, group: str, item: str, signals: list[str]) -> DataFrame:
@@ -59,17 +61,18 @@ def _known(signals: list[str]):
 
 def fused_top(fused: DataFrame, limits: DataFrame, group: str, item: str, limit: str, hot: list | None = None) -> DataFrame:
     """The best ``limit`` items of each group in ``limits``; ties go to the lesser item. Null limits give nothing.
+    Totals are compared rounded to ``DIGITS``, so that the order of summation decides nothing.
 
     Hot groups are first cut at the competition rank, by counting, before a window orders what is left.
     """
     tops = limits.where(F.col(group).isNotNull()).groupBy(group).agg(F.max(limit).alias("_limit"))
-    best = W.partitionBy(group).orderBy(F.desc("fused"), F.asc(item))
+    best = W.partitionBy(group).orderBy(F.round("fused", DIGITS).desc(), F.asc(item))
 
     def cut(df: DataFrame) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("_limit"))
 
     if not hot:
         return cut(fused.join(tops, group)).select(group, item, "fused", "rank")
-    few = spread_rank(fused.where(F.col(group).isin(hot)), [group], "fused", "_rank").join(F.broadcast(tops.where(F.col(group).isin(hot))), group)
+    few = spread_rank(fused.where(F.col(group).isin(hot)).withColumn("fused", F.round("fused", DIGITS)), [group], "fused", "_rank").join(F.broadcast(tops.where(F.col(group).isin(hot))), group)
     parts = cut(fused.where(~F.col(group).isin(hot)).join(tops, group)).unionByName(cut(few.where("_rank <= _limit").drop("_rank")))
     return parts.select(group, item, "fused", "rank")
