@@ -1,6 +1,6 @@
 """Operators that meet two tables block by block give what all pairs give."""
 
-from notegraph.operators import text_index
+from notegraph.operators import rules, text_index
 
 
 def test_bm25_of_blocks_is_that_of_all_pairs(spark, monkeypatch):
@@ -18,3 +18,17 @@ def test_bm25_of_blocks_is_that_of_all_pairs(spark, monkeypatch):
     assert not text_index.bm25_top(queries, "query_id", "query", docs.limit(0), "title", 10, {"body": 1.0}).collect()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroups" in plan  # pairs of queries and documents are never rows
+
+
+def test_entities_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    names = ["index", "Index", "map", "maps", "ab", "résumé", "a b c", "日本語", "x" * 60, None, "retry-limit"]
+    titles = spark.createDataFrame([(n,) for n in names], "title string")
+    asked = [(1, "the INDEX of maps"), (2, "the INDEX of maps"), (3, "RÉSUMÉ 日本語版"), (4, "ab"), (5, None), (6, "x" * 61), (7, "a b c retry-limits"), (1, "a b c"), (8, "nothing")]
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    wanted = {(k, t) for k, q in asked for t in names if q and t and len(t) >= 3 and len(q) >= 3 and t.lower() in q.lower()}
+    for texts, size in ((16_384, 65_536), (2, 3)):
+        monkeypatch.setattr(rules, "TEXTS", texts)
+        monkeypatch.setattr(rules, "NAMES", size)
+        found = rules.entities(queries, "query_id", "query", titles).collect()
+        assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    assert not rules.entities(queries, "query_id", "query", titles.limit(0)).collect()
