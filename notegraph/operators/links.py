@@ -10,31 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from notegraph.operators.blocks import block_pairs, blocks
 from notegraph.operators.graph import both_ways
 from notegraph.operators.rules import classify_type, detect_projects
+from notegraph.session import cut_lineage
 
 #: Suggestions from this confidence on are applied without asking.
 AUTO_APPLY = 0.8
 HEADINGS = ("Relevant Notes", "Areas")
 
 
-def _phrases(text: Column) -> Column:
-    """Distinct tokens and pairs of neighbouring tokens of a text."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: F.length(w) > 0)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(words, F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))))
+#: Bodies and titles that meet in one group of :func:`mentions`.
+BODIES, NAMES = 4_096, 65_536
 
 
 def mentions(notes: DataFrame, key: str, body: str, titles: DataFrame) -> DataFrame:
     """``(key, title, start, length, linked)``: mentions of titles in bodies, longest titles first, without overlap.
 
     A dash of a title matches a dash or white space; case does not count; borders are those of ASCII words. Candidates
-    come from an equi-join on a title's first two tokens (or its only one), so no body meets all titles; the greedy
+    are the titles whose words stand in a body in their order without others between: bodies meet titles block by block
+    and look up runs of words under their first one, so common beginnings of titles bring nothing together. The greedy
     cover runs per body over its own candidates. ``linked`` tells mentions inside ``[[ ]]``. ``start`` is 0-based.
     """
-    words = F.filter(F.split(F.lower("title"), "[^a-z0-9_]+"), lambda w: F.length(w) > 0)
-    heads = titles.select("title", F.array_join(F.slice(words, 1, 2), " ").alias("_head")).where("_head <> ''").distinct()
-    met = notes.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.explode(_phrases(F.col(body))).alias("_head")).join(heads, "_head")
+    named = cut_lineage(titles.select("title", F.lower("title").alias("_t")).where("title is not null").distinct())
+    texts = notes.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.lower(body).alias("_low"))
+    kind = notes.schema[key].dataType.simpleString()
+    met = block_pairs(texts, "key", blocks(notes.count(), BODIES), named, "title", blocks(named.count(), NAMES), _said, f"key {kind}, title string")
     candidates = met.groupBy("key").agg(F.collect_set("title").alias("titles"))
     rows = candidates.join(notes.select(F.col(key).alias("key"), F.col(body).alias("body")), "key").select("key", "body", "titles")
 
@@ -48,18 +49,61 @@ def mentions(notes: DataFrame, key: str, body: str, titles: DataFrame) -> DataFr
             kinds = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["key", "title", "start", "length", "linked"])
 
-    kind = notes.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, title string, start int, length int, linked boolean").withColumnRenamed("key", key)
 
 
+def _said(texts: pa.Table, titles: pa.Table) -> pa.Table:
+    """The titles of a block whose words stand one after another in each body."""
+    names, lengths = {}, {}
+    for title, low in zip(titles["title"].to_pylist(), titles["_t"].to_pylist()):
+        if words := re.findall("[a-z0-9_]+", low):
+            names.setdefault(" ".join(words), []).append(title)
+            lengths.setdefault(words[0], set()).add(len(words))
+    row, found = [], []
+    for i, low in enumerate(texts["_low"].to_pylist()):
+        words, hits = re.findall("[a-z0-9_]+", low), set()
+        for at, word in enumerate(words):
+            for n in lengths.get(word, ()):
+                if at + n <= len(words) and (run := " ".join(words[at : at + n])) in names:
+                    hits.add(run)
+        for run in hits:
+            found += names[run]
+            row += [i] * len(names[run])
+    return pa.table({"key": texts["key"].take(pa.array(row, pa.int64())), "title": pa.array(found, pa.string())})
+
+
+#: White space as a dash, ASCII capitals as small letters: place by place.
+_FLAT = {c: "-" for c in range(0x3001) if chr(c).isspace()} | {c: chr(c + 32) for c in range(65, 91)}
+
+
+def _places(body: str, flat: str | None, title: str) -> Iterator[tuple[int, int]]:
+    """Where a title stands in a body, left to right. An ASCII title without blanks is looked for in the flat body; a
+    pattern, which costs its compilation, is for the others."""
+    if flat is None or not title.isascii() or any(c.isspace() for c in title):
+        pattern = r"[-\s]".join(re.escape(part) for part in title.split("-"))
+        for m in re.finditer(rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])", body, re.I):
+            yield m.span()
+        return
+    low, at = title.lower(), 0
+    while low and (at := flat.find(low, at)) >= 0:
+        end = at + len(low)
+        if (at == 0 or flat[at - 1] not in _WORD) and flat[end : end + 1] not in _WORD:
+            yield at, end
+            at = end
+        else:
+            at += 1
+
+
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+
 def cover(body: str, titles: list[str]) -> list[tuple[str, int, int, bool]]:
     """Non-overlapping mentions in one body, longest title first (ties: the lesser title), by place."""
     taken = bytearray(len(body) + 1)
     found = []
+    flat = None if any(c in body for c in "\u017f\u212a\u0130\u0131") else body.translate(_FLAT)  # letters that patterns take for s, k and i
     for title in sorted(set(titles), key=lambda t: (-len(t), t)):
-        pattern = r"[-\s]".join(re.escape(part) for part in title.split("-"))
-        for m in re.finditer(rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])", body, re.I):
-            start, end = m.span()
+        for start, end in _places(body, flat, title):
             if not any(taken[start:end]):
                 taken[start:end] = b"\1" * (end - start)
                 found.append((title, start, end - start, body.rfind("[[", 0, start) > body.rfind("]]", 0, start)))

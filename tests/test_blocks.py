@@ -1,6 +1,8 @@
 """Operators that meet two tables block by block give what all pairs give."""
 
-from notegraph.operators import rules, text_index
+import pyarrow as pa
+
+from notegraph.operators import links, rules, text_index
 
 
 def test_bm25_of_blocks_is_that_of_all_pairs(spark, monkeypatch):
@@ -32,3 +34,19 @@ def test_entities_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
         found = rules.entities(queries, "query_id", "query", titles).collect()
         assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
     assert not rules.entities(queries, "query_id", "query", titles.limit(0)).collect()
+
+
+def test_mentions_of_blocks_and_common_beginnings(spark, monkeypatch):
+    names = [f"move-the-shard-{i}-later" for i in range(40)] + ["index", "a b", "café-map", "Retry-Limit"]
+    titles = spark.createDataFrame([(n,) for n in names] + [(None,)], "title string")
+    bodies = [(1, "Move the shard 7 later, or move-the-shard-8 sooner; see [[index]] and indexes."), (2, "CAFÉ map, retry\nlimit, a b"), (3, None), (4, "move the nothing")]
+    notes = spark.createDataFrame(bodies, "note_id bigint, body string")
+    wanted = {(k, *f) for k, b in bodies if b for f in links.cover(b, names)}
+    assert {w[1] for w in wanted} == {"move-the-shard-7-later", "index", "café-map", "Retry-Limit", "a b"}
+    for size, n in ((4_096, 65_536), (1, 10)):
+        monkeypatch.setattr(links, "BODIES", size)
+        monkeypatch.setattr(links, "NAMES", n)
+        found = links.mentions(notes, "note_id", "body", titles).collect()
+        assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    met = links._said(pa.table({"key": [4, 1], "_low": ["move the nothing", bodies[0][1].lower()]}), pa.table({"title": names, "_t": [n.lower() for n in names]}))
+    assert set(met.to_pylist()[i]["title"] for i in range(met.num_rows)) == {"move-the-shard-7-later", "index"}
