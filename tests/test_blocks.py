@@ -1,8 +1,13 @@
 """Operators that meet two tables block by block give what all pairs give."""
 
+from types import SimpleNamespace
+
+import numpy as np
 import pyarrow as pa
 
-from notegraph.operators import links, rules, text_index
+from conftest import SF
+from notegraph.operators import links, retrieval, rules, text_index
+from notegraph.plans import search
 
 
 def test_bm25_of_blocks_is_that_of_all_pairs(spark, monkeypatch):
@@ -50,3 +55,25 @@ def test_mentions_of_blocks_and_common_beginnings(spark, monkeypatch):
         assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
     met = links._said(pa.table({"key": [4, 1], "_low": ["move the nothing", bodies[0][1].lower()]}), pa.table({"title": names, "_t": [n.lower() for n in names]}))
     assert set(met.to_pylist()[i]["title"] for i in range(met.num_rows)) == {"move-the-shard-7-later", "index"}
+
+
+def test_composite_memory_follows_the_tile_not_the_queries(monkeypatch):
+    rnd = np.random.default_rng(1)
+    notes, queries = 300, 900
+    vec = lambda: pa.array(list(rnd.normal(size=(notes, 4))), pa.list_(pa.float32()))
+    flat = ("temporal", "vitality", "low", "high", "community", *retrieval.INTENT_TYPES)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"n{i}" for i in range(notes)]), vec(), vec(), vec(), *(pa.array(rnd.random(notes)) for _ in flat)], ["title", "title_vec", "desc_vec", "body_vec", *flat])
+    asked = SimpleNamespace(value=(pa.array(range(queries)), rnd.normal(size=(queries, 4)), ["semantic", "decision", None] * (queries // 3)))
+    monkeypatch.setattr(retrieval, "TILE", 6_000)
+    sizes = [b.num_rows for b in retrieval._scored(iter([batch.slice(0, 100), batch.slice(100)]), asked, None, 4)]
+    assert sum(sizes) == notes * queries and max(sizes) <= 6_000
+    best = [b.num_rows for b in retrieval._scored(iter([batch.slice(0, 100), batch.slice(100)]), asked, 5, 4)]
+    assert sum(best) == 5 * queries  # one cut of a task, not one a batch
+
+
+def test_composite_and_ranked_answer_all_queries(spark):
+    wanted = {r[0] for r in search.table(spark, SF, "search_queries").select("query_id").collect()}
+    notes = search.notes_of(spark, SF).count()
+    assert len(wanted) > 300
+    assert {r[0] for r in search.q_ranked(spark, SF).select("query_id").distinct().collect()} == wanted
+    assert {tuple(r) for r in search.q_composite(spark, SF).groupBy("query_id").count().collect()} == {(q, notes) for q in wanted}
