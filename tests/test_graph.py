@@ -129,3 +129,15 @@ def test_empty_graph(spark):
     for f in (lambda e: g.spread_articulation_points(g.undirected(e)), g.nodes, g.pagerank, g.components, g.articulation_points, g.betweenness, g.communities, g.hubs):
         assert f(e).count() == 0
     assert g.upper_median(g.in_degrees(e), "in_degree").first()[0] == 0
+
+
+def test_pagerank_of_one_task_and_of_tables(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "sink"), ("d", "d"), ("e", "a")]
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(3)
+    once = g.pagerank(edges)
+    assert "rank" in once.columns and once.rdd.getNumPartitions() == 1
+    found = {r.id: round(r["rank"], 12) for r in once.collect()}
+    assert len(found) == 6 and abs(sum(found.values()) - 1.0) < 1e-9
+    assert not g.pagerank(edges.limit(0)).collect()
+    monkeypatch.setattr(g, "TASK_EDGES", 0)
+    assert {r.id: round(r["rank"], 12) for r in g.pagerank(edges).collect()} == found
